@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,20 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application; they may run elsewhere."""
+    context = spark.sparkContext
+    if getattr(context, "_cloakwork_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(prefix="cloakwork-"), "cloakwork.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(to)
+    context._cloakwork_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is missing."""
     given = spark.conf.get("spark.checkpoint.dir", None)
