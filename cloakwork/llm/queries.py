@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import cutoffs, percentiles
+from cloakwork.llm import cutoffs, labels, languages, leaks, percentiles, spam
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,10 +28,42 @@ def p4_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return cutoffs.cutoffs(rows, goal).withColumnRenamed("grp", "source")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return found.select("doc_id", F.col("item_id").cast("int").alias("item_id"))
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    clean = leaks.cleaned(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return clean.select("doc_id", F.length("text").alias("n_chars"), F.size("items").alias("n_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(_t(spark, d, "documents"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    spans, canonical = _t(spark, d, "layout_spans"), _t(spark, d, "field_labels")
+    found = labels.mapped(spans, canonical, "span_id", "field_label", "label_id", "label")
+    return found.select(F.col("id").alias("span_id"), F.col("entry").cast("int").alias("label_id"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    spans, docs = _t(spark, d, "layout_spans"), _t(spark, d, "source_docs")
+    prose = spans.filter("block_type = 'paragraph'").join(docs.select("doc_id", "lang"), "doc_id").select("lang", "text")
+    labelled = _t(spark, d, "documents").select("lang", "text").unionByName(prose)
+    return languages.found(spans.select("span_id", "doc_id", "block_type", "text"), docs, labelled)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_cutoffs": p4_cutoffs,
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_cleaned": p8_cleaned,
+    "p9_found": p9_found,
 }
 
 _COUNTED = """
