@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakwork.llm import cutoffs, labels, languages, leaks, percentiles, spam
+from cloakwork.llm import containers, cutoffs, labels, languages, leaks, names, percentiles, personal, spam
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -55,12 +55,52 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.found(spans.select("span_id", "doc_id", "block_type", "text"), docs, labelled)
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """kind, text of every name field: persons and organisations, whatever the spelling of the type."""
+    boxes = _t(spark, d, "redaction_boxes").filter(F.col("entity_type").isin("PERSON", "ORG", "ORGANIZATION"))
+    vault = _t(spark, d, "vault_tokens").select(F.regexp_extract("token", r"^\[(PERSON|ORG)_\d+\]$", 1).alias("kind"), F.col("plaintext").alias("text"))
+    kind = F.when(F.col("entity_type") == "PERSON", "PERSON").otherwise("ORG").alias("kind")
+    return boxes.select(kind, F.col("text_found").alias("text")).unionByName(vault.filter("kind <> ''"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.linked(_names(spark, d)))
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    spans = _t(spark, d, "layout_spans").select(F.lit("layout_spans").alias("src"), F.col("span_id").alias("row_id"), F.lit(None).cast("string").alias("kind"), "text")
+    boxes = _t(spark, d, "redaction_boxes").select(F.lit("redaction_boxes").alias("src"), F.col("box_id").alias("row_id"), F.col("entity_type").alias("kind"), F.col("text_found").alias("text"))
+    return spans.unionByName(boxes)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.items(_fields(spark, d)).select("src", "row_id", "pii_type", F.col("start").alias("span_start"))
+
+
+def p2_sanitised(spark: SparkSession, d: str) -> DataFrame:
+    fields = _fields(spark, d)
+    return personal.sanitised(fields, personal.items(fields))
+
+
+def p7_places(spark: SparkSession, d: str) -> DataFrame:
+    return containers.assigned(containers.count_tokens(_t(spark, d, "documents")), _t(spark, d, "container_sizes"))
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    return containers.usage(p7_places(spark, d), _t(spark, d, "container_sizes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_cutoffs": p4_cutoffs,
+    "p2_found": p2_found,
+    "p2_sanitised": p2_sanitised,
     "p3_found": p3_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_places": p7_places,
+    "p7_usage": p7_usage,
     "p8_found": p8_found,
     "p8_cleaned": p8_cleaned,
     "p9_found": p9_found,
