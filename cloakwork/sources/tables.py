@@ -61,7 +61,7 @@ def write(df: DataFrame, path: str, format: str = "parquet", mode: str = "append
     """A table written in one of FORMATS. Files appear at the end of the job, all or none."""
     if format not in FORMATS:
         raise ValueError(f"no format {format!r}")
-    writer = df.write.format(format).mode(mode)
+    writer = df.write.format(format).mode(mode).options(**({"header": "true"} if format == "csv" else {}))
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
