@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -119,9 +120,9 @@ def phrases(tables: list[np.ndarray], texts: list[str]) -> np.ndarray:
             c = codes[:n, at]
             to = flat[state[:n] * ALPHABET + c]
             stuck = to == 0
-            counts[:n, a] += stuck
+            # a phrase begins at the start, after a letter that the text lacks, and where none goes on
+            counts[:n, a] += stuck | (state[:n] == 0)
             state[:n] = np.where(stuck, flat[c], to)
-        counts[:, a] += lengths > 0
     out = np.empty_like(counts)
     out[order] = counts
     return out
@@ -166,15 +167,13 @@ def clean_sample(rows: list[tuple[str, str]], weights: dict[str, float] | None =
                 for w in set(own.split()):
                     counts[lang][w] += weight
 
+    logs = {k: {w: math.log(n + 0.1) for w, n in c.items()} for k, c in counts.items()}
+    none = math.log(0.1)
+
     def outvoted(lang: str, sentence: str) -> bool:
         words = sentence.split()
-        for k in counts:
-            if k != lang:
-                if pieces[k][sentence] > pieces[lang][sentence]:
-                    return True
-                if sum(np.log((counts[lang][w] + 0.1) / (counts[k][w] + 0.1)) for w in words) <= 0:
-                    return True
-        return False
+        votes = {k: sum(own.get(w, none) for w in words) for k, own in logs.items()}
+        return any(k != lang and (votes[k] >= votes[lang] or pieces[k][sentence] > pieces[lang][sentence]) for k in logs)
 
     out = {}
     for lang in sorted(pieces):
