@@ -34,6 +34,9 @@ FLOOR = (0.03, 0.03, 0.06, 0.06, 0.05, 0.08)
 SPAMWARD = ((1, 0, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0), (0, 0, 1, 1, 1, 0))
 #: Distances that count in these directions. A link or tag share of some 0.4 is about 13 deviations.
 CUTOFFS = (13.0, 13.0, 8.15)
+#: Deviations of single features that a direction needs: function words must be missing, so that a text
+#: that only repeats itself is none, and figures must not abound, so that tables and inventories aren't.
+NEEDS = ({}, {}, {"keywords": (2.0, math.inf), "figures": (-math.inf, 2.5)})
 #: Words of a window in which repetition is measured.
 WINDOW = 60
 
@@ -67,7 +70,8 @@ def features(text: str) -> tuple[float, ...]:
     figures = 1 - len(words) / len(tokens) if tokens else 0.0
     if not words:
         return (linked / solid, tagged / solid, 0.0, 0.0, 0.0, figures)
-    best = max(_FW.values(), key=lambda fw: sum(w in fw for w in words))
+    tally = Counter(words)
+    best = max(_FW.values(), key=lambda fw: sum(n for w, n in tally.items() if w in fw))
     dense = run = repeated = pairs = 0
     seen: dict[tuple[str, str], int] = {}
     for at, w in enumerate(words):
@@ -81,7 +85,7 @@ def features(text: str) -> tuple[float, ...]:
             pairs += 1
             repeated += at - seen.get(pair, -WINDOW - 1) <= WINDOW
             seen[pair] = at
-    counts = np.fromiter(Counter(words).values(), dtype=float) / len(words)
+    counts = np.fromiter(tally.values(), dtype=float) / len(words)
     entropy = -float(np.sum(counts * np.log(counts)))
     usual = math.log(len(words)) if len(words) > 1 else 1.0
     sameness = max(0.0, 1 - entropy / min(usual, math.log(150))) if len(words) > 1 else 0.0
@@ -181,8 +185,8 @@ def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosin
 
     distance: robust Mahalanobis distance. direction: index of the SPAMWARD direction with the largest
     cosine to the row's offset, in the space where the language's features are uncorrelated and of
-    unit spread; it must reach `cosine`, the offset must lead towards more of the features, and the
-    distance must reach the direction's cutoff.
+    unit spread; it must reach `cosine`, the offset must lead towards more of the features and have
+    what the direction NEEDS, and the distance must reach the direction's cutoff.
     """
     whiten = {k: (m, np.linalg.cholesky(inverse).T) for k, (m, inverse) in model.items()}
 
@@ -199,6 +203,10 @@ def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosin
                     on = np.flatnonzero(way)
                     basis = np.linalg.qr(root[:, on])[0]
                     cos = np.where(offset[:, on].sum(axis=1) > 0, np.linalg.norm(z @ basis, axis=1), -1) / np.maximum(distance[own], 1e-12)
+                    for f, (least, most) in NEEDS[k].items():
+                        sd = math.sqrt(np.linalg.inv(root.T @ root)[FEATURES.index(f), FEATURES.index(f)])
+                        z_f = offset[:, FEATURES.index(f)] / sd
+                        cos = np.where((z_f >= least) & (z_f <= most), cos, -1)
                     better = own[cos > angle[own]]
                     which[better] = k
                     angle[own] = np.maximum(angle[own], cos)
