@@ -181,8 +181,8 @@ def containment_dedup(spark: SparkSession, d: str) -> DataFrame:
 # --- filters and fields -------------------------------------------------------------------------------
 
 _BOXES = "boxes AS (SELECT DISTINCT * FROM redaction_boxes)"
-_S = "regexp_replace(coalesce(text_found, ''), '^\\s+|\\s+$', '', 'g')"
-_W = "list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')"
+_S = "regexp_replace(coalesce(text_found, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+_W = "list_filter(regexp_split_to_array(s, '[\\s\\p{Z}]+'), lambda w: w <> '')"
 _LOWER = "regexp_matches(s, '^\\p{Ll}')"
 _IS_ORG = (
     f"NOT (s = '' OR lower(s) IN ({quoted(N.ROLES)}) OR regexp_matches(s, '^[A-Z]{{2,6}}$') OR regexp_matches(s, '[=<>{{}}/\\\\@]') OR regexp_matches(s, '(?i)https?://|xsi:|xmlns:|schemaLocation') OR {_LOWER}"
@@ -204,7 +204,7 @@ def normalise_labels(spark: SparkSession, d: str) -> DataFrame:
     return one_of_each(table(spark, d, "redaction_boxes"), "box_id").select("box_id", N.normal_label(F.col("entity_type")).alias("entity_type"))
 
 
-_L = "regexp_replace(lower(coalesce(field_label, '')), '^\\s+|\\s+$', '', 'g')"
+_L = "regexp_replace(lower(coalesce(field_label, '')), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
 _HIGH, _LOW = f"{_L} IN ({quoted(N.HIGH_VALUE)})", f"{_L} IN ({quoted(N.LOW_VALUE)})"
 
 
@@ -214,7 +214,7 @@ def field_value_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SPANS}, s0 AS (SELECT span_id, field_label, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS s, text FROM spans),
+    f"""WITH {_SPANS}, s0 AS (SELECT span_id, field_label, regexp_replace(coalesce(text, ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS s, text FROM spans),
 s1 AS (SELECT *, {_W} AS w FROM s0), hit AS (SELECT * FROM s1 WHERE contains(text, ','))
 SELECT span_id, text AS span, 'PERSON' AS entity_type, CASE WHEN {_HIGH} THEN 0.75 ELSE 0.6 END AS score, 'field' AS source FROM hit WHERE {_IS_PERSON} AND NOT {_LOW}
 UNION ALL
@@ -374,7 +374,7 @@ def vision_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH v AS (SELECT DISTINCT doc_id, 0 AS rank, box_id AS ord, text_found AS span FROM redaction_boxes WHERE source = 'vlm'
 UNION ALL SELECT DISTINCT doc_id, 1, box_id, text_found FROM redaction_boxes WHERE source = 'presidio'),
-k AS (SELECT * FROM v WHERE regexp_matches(span, '\\S') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(span, '^\\s+|\\s+$', '', 'g')) ORDER BY rank, ord) = 1)
+k AS (SELECT * FROM v WHERE regexp_matches(span, '\\S') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(span, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) ORDER BY rank, ord) = 1)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rank, ord) - 1 AS INT) AS ord, span FROM k"""
 )
 def merge_span_lists(spark: SparkSession, d: str) -> DataFrame:
