@@ -56,6 +56,17 @@ _address = [
     re.compile(rf"\b(?:{_cap}\s+){{0,2}}[A-ZÄÖÜ][\w'’-]*(?i:{ENDINGS})\s+\d{{1,4}}(?:-\d{{1,3}}|\s?[a-zA-Z])?\b(?![\d/-]|\.\d)"),
     re.compile(rf"\b(?i:am|an der|im|zum|zur|auf der|auf dem|in der)\s+{_cap}\s+\d{{1,4}}\s?[a-z]?\b(?![\d/-]|\.\d)"),
 ]
+#: What a text in lower case, its white space as blanks, must hold for the address pattern of the same
+#: place to be worth trying.
+_hint = [
+    tuple(f" {w.lower()}" for w in AFTER.split("|")),
+    tuple(w.lower() for w in FRENCH.split("|")),
+    tuple(f"{w.lower()}" for w in BEFORE.split("|")),
+    tuple(w.lower().replace("\\", "") for w in ENDINGS.split("|")),
+    ("am ", "an der ", "im ", "zum ", "zur ", "auf der ", "auf dem ", "in der "),
+]
+_at = re.compile(r"[\[(][aA][tT][\])]")
+_digits = re.compile(r"\d")
 _word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _camel = re.compile(r"([A-Z][a-z]{2,})([A-Z][a-z]{2,})$")
 _near = re.compile(r"\.?\s+$")
@@ -83,9 +94,11 @@ def numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int,
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    for m in _email.finditer(text):
+    for m in _email.finditer(text) if "@" in text or _at.search(text) else ():
         taken.append(m.span())
         yield "EMAIL", m.start(), m.end(), ["EMAIL|@"]
+    if not _digits.search(text):
+        return
     for m in _social.finditer(text):
         word = before(text, m.start())
         if free(*m.span()) and digits(m.group()) >= 5 and word not in NOT_PERSONAL:
@@ -101,11 +114,12 @@ def numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int,
         if free(*m.span()) and digits(m.group()) >= 6 and 9 <= n <= 14 and not (word in NOT_PERSONAL and text[max(0, m.start() - 12) : m.start()].rstrip(" .:#\n").lower().endswith(word)):
             taken.append(m.span())
             yield "PHONE", m.start(), m.end(), [f"PHONE|{shape(re.sub('(?i)(?:x|ext).*', '', m.group())).rstrip()}|"]
-    for pattern in _address:
-        for m in pattern.finditer(text):
+    lowered = re.sub(r"\s", " ", text.lower())
+    for kind, pattern in enumerate(_address):
+        for m in pattern.finditer(text) if any(h in lowered for h in _hint[kind]) else ():
             if free(*m.span()):
                 taken.append(m.span())
-                yield "STREET_ADDRESS", m.start(), m.start() + len(m.group().rstrip()), ["STREET_ADDRESS|" + str(_address.index(pattern))]
+                yield "STREET_ADDRESS", m.start(), m.start() + len(m.group().rstrip()), [f"STREET_ADDRESS|{kind}"]
 
 
 class Lexicon:
@@ -125,6 +139,8 @@ def named(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> Iterator
     """Persons' names: given name and surname in either order, joined, or a surname with initials."""
     tokens = [(m.group(), m.start(), m.end()) for m in _word.finditer(text) if all(m.end() <= a or m.start() >= b for a, b in taken)]
     low = [t[0].lower() for t in tokens]
+    givens = [len(w) > 1 and lexicon.given(w) and w not in TITLES for w in low]
+    surnames = [len(w) > 2 and lexicon.surname(w) and w not in NO_SURNAME for w in low]
     count, i = len(tokens), 0
 
     def gap(k: int) -> str:
@@ -134,10 +150,10 @@ def named(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> Iterator
         return k < count and len(tokens[k][0]) == 1 and tokens[k][0].isupper()
 
     def given(k: int) -> bool:
-        return k < count and len(low[k]) > 1 and lexicon.given(low[k]) and low[k] not in TITLES
+        return k < count and givens[k]
 
     def surname(k: int) -> bool:
-        return k < count and len(low[k]) > 2 and lexicon.surname(low[k]) and low[k] not in NO_SURNAME
+        return k < count and surnames[k]
 
     while i < count:
         word, start, _ = tokens[i]
@@ -260,12 +276,12 @@ def items(fields: DataFrame) -> DataFrame:
     """src, row_id, pii_type, start, end of every item of personal information.
 
     fields(src, row_id, kind, text): kind is the type of the hit whose text this is, or null. Each
-    (src, row_id) once; null ids and null texts have no items; texts are read whole. Offsets are 0-based
-    code points, end exclusive.
+    (src, row_id) once; null ids and null texts have no items; texts are read whole, and never shuffled.
+    Offsets are 0-based code points, end exclusive.
     """
-    fields = stored(one_of_each(fields.filter("text is not null"), "src", "row_id"))
+    fields = fields.filter("text is not null and src is not null and row_id is not null")
     bits, words = disclosure(fields)
-    found = stored(candidates(fields, words))
+    found = stored(candidates(fields, words).dropDuplicates(["src", "row_id", "start"]))
     # names: some word must disclose a person
     terms = found.filter("pii_type = 'NAME'").select("src", "row_id", "start", F.explode("terms").alias("term"))
     telling = terms.join(bits, "term").groupBy("src", "row_id", "start").agg(F.max("bits").alias("bits")).filter(F.col("bits") >= NAMES_BITS)
