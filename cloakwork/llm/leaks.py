@@ -18,6 +18,8 @@ from cloakwork.session import one_of_each
 #: Words of an n-gram, words of a passage that count as a leak, and words of an alteration that a
 #: passage bridges.
 GRAM, PASSAGE, BRIDGE = 3, 10, 4
+#: A passage must hold a word of at least this weight: one that few items have.
+TELLING = 0.6
 #: A passage must hold this much weight that tells its item from others (a word of one item only
 #: weighs 1), and keep this share of the weight of the part of the item that it covers; of a LONG
 #: passage, the second share is enough.
@@ -30,7 +32,7 @@ _word = re.compile(r"[^\W_]+")
 
 def words(text: str) -> list[str]:
     """Words in lower case, without punctuation; an apostrophe parts words."""
-    return _word.findall(unicodedata.normalize("NFKC", text).lower())
+    return _word.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
 
 
 def spans_of_words(text: str) -> list[tuple[str, int, int]]:
@@ -50,17 +52,19 @@ class Index:
             for gram in zip(*(body[k:] for k in range(GRAM))):
                 grams[gram].add(item)
         self.grams = {g: tuple(sorted(i)) for g, i in grams.items()}
-        self.sets = {i: {g for g in zip(*(b[k:] for k in range(GRAM)))} for i, b in bodies.items()}
         base = math.log(len(bodies) + 1)
         self.weight = {w: math.log((len(bodies) + 1) / n) / base for w, n in seen.items()}
+        self.telling = {i: {w for w in b if self.weight[w] >= TELLING} for i, b in bodies.items()}
 
     def scan(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
         """Items to the word ranges of the text that hold a passage of them."""
         hits: dict[int, list[int]] = defaultdict(list)
         telling: set[int] = set()
-        for at, gram in enumerate(zip(*(text[k:] for k in range(GRAM)))):
-            items = self.grams.get(gram)
-            if items:
+        # n-grams of the items hold only words of the items, so other windows need no look
+        known = [at for at, w in enumerate(text) if w in self.weight]
+        for first, last in zip(known, known[GRAM - 1 :]):
+            if last - first == GRAM - 1 and (items := self.grams.get(tuple(text[first : last + 1]))):
+                at = first
                 for item in items:
                     hits[item].append(at)
                 if len(items) == 1:
@@ -80,7 +84,9 @@ class Index:
         for k in range(1, len(places) + 1):
             if k == len(places) or places[k] - places[k - 1] > around:
                 low, high = max(0, places[start] - around), min(len(text), places[k - 1] + GRAM + around)
-                found += [(low + a, low + b) for a, b in self._passages(body, text[low:high])]
+                part = text[low:high]
+                if not self.telling[item].isdisjoint(part):
+                    found += [(low + a, low + b) for a, b in self._passages(body, part)]
                 start = k
         return found
 
@@ -99,9 +105,10 @@ class Index:
                 chain = chain[1:]
             matched = sum(b.size for b in chain)
             whole = range(chain[0].a, chain[-1].a + chain[-1].size)
-            kept = sum(self.weight[body[b.a + k]] for b in chain for k in range(b.size))
+            weights = [self.weight[body[b.a + k]] for b in chain for k in range(b.size)]
+            kept = sum(weights)
             total = sum(self.weight[body[k]] for k in whole)
-            if matched >= PASSAGE and kept >= WEIGHT and kept >= total * (KEEP_LONG if matched >= LONG else KEEP):
+            if matched >= PASSAGE and kept >= WEIGHT and max(weights) >= TELLING and kept >= total * (KEEP_LONG if matched >= LONG else KEEP):
                 found.append((chain[0].b, chain[-1].b + chain[-1].size))
         return found
 
