@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.session import one_of_each, stored
+from cloakwork.session import stored
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
 #: Fitting reads at most about this many labelled texts of a language, and builds the automaton of a
@@ -55,8 +55,10 @@ def letters(sentence: str) -> str:
     """The sentence in the automata's alphabet: lower case without accents; names, words with digits,
     mail addresses and all other characters become one blank."""
     text = _address.sub(" ", unnamed(sentence))
-    text = unicodedata.normalize("NFKD", text.replace("ß", "ss")).lower()
-    text = "".join(c for c in text if not unicodedata.combining(c))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text.replace("ß", "ss"))
+        text = "".join(c for c in text if not unicodedata.combining(c))
+    text = text.lower()
     return re.sub(r"[^a-z]+", " ", text).strip()
 
 
@@ -137,14 +139,17 @@ class Model:
 
     def judge(self, texts: list[str]) -> np.ndarray:
         """Phrases per 100 characters, a row per text; texts without letters have rows of inf."""
+        return self.judge_letters([letters(t) for t in texts])
+
+    def judge_letters(self, texts: list[str]) -> np.ndarray:
+        """The same for texts that `letters` made."""
         out = np.full((len(texts), len(self.languages)), np.inf)
         for at in range(0, len(texts), 4096):
-            part = [letters(t) for t in texts[at : at + 4096]]
-            if part:
-                counts = phrases(self.tables, [" " + t + " " if t else "" for t in part])
-                for k, t in enumerate(part):
-                    if t:
-                        out[at + k] = counts[k] * 100 / (len(t) + 2)
+            part = texts[at : at + 4096]
+            counts = phrases(self.tables, [f" {t} " if t else "" for t in part])
+            for k, t in enumerate(part):
+                if t:
+                    out[at + k] = counts[k] * 100 / (len(t) + 2)
         return out
 
 
@@ -226,24 +231,24 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def segments(rows: DataFrame, model: Model) -> DataFrame:
+def segments(rows: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """rows(id, text) to segments(id, start, end, lang, confidence, size): maximal runs of sentences of
     one language, with 0-based code-point offsets and the number of letters.
 
     The language with the fewest normalised phrases wins; confidence is 1 - its phrases over those of
     the next language. Sentences with few letters join the segment before them, or the one after.
-    Texts without letters have no segment. Whole texts are read.
+    Texts without letters have no segment. Whole texts are read. keep: string columns to carry along.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
-            parts = [(i, a, b, s) for i, t in zip(pdf["id"], pdf["text"]) for a, b, s in sentences(t)]
+            parts = [(i, a, b, s) for i, t in enumerate(pdf["text"]) for a, b, s in sentences(t)]
             out = []
             if parts and model.languages:
-                scores = model.judge([p[3] for p in parts])
-                sizes = [len(letters(p[3])) for p in parts]
+                plain = [letters(p[3]) for p in parts]
+                scores, sizes = model.judge_letters(plain), [len(t) for t in plain]
                 best = np.argmin(scores, axis=1)
                 if scores.shape[1] > 1:
                     two = np.partition(scores, 1, axis=1)[:, :2]
@@ -275,16 +280,20 @@ def segments(rows: DataFrame, model: Model) -> DataFrame:
                     continue
                 # texts of short sentences only are judged as they are
                 have = {o[0] for o in out}
-                texts = [(i, t) for i, t in zip(pdf["id"], pdf["text"]) if i not in have and letters(t)]
+                texts = [(i, t) for i, t in enumerate(pdf["text"]) if i not in have and letters(t)]
                 if texts:
                     scores = model.judge([t for _, t in texts])
                     for (i, t), s in zip(texts, scores):
                         first, second = (np.sort(s)[:2] if len(s) > 1 else (s[0], np.inf))
                         out.append([i, 0, len(t), model.languages[int(np.argmin(s))], float(1 - first / second) if second else 0.0, len(letters(t))])
-            yield pd.DataFrame(out, columns=["id", "start", "end", "lang", "confidence", "size"])
+            found = pd.DataFrame(out, columns=["id", "start", "end", "lang", "confidence", "size"])
+            at = found["id"].astype(int).to_numpy()
+            for c in ("id", *keep):
+                found[c] = pdf[c].to_numpy()[at]
+            yield found
 
-    clean = rows.select("id", "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return clean.mapInPandas(run, "id long, start int, end int, lang string, confidence double, size int")
+    clean = rows.select("id", *keep, "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    return clean.mapInPandas(run, "id long, start int, end int, lang string, confidence double, size int" + "".join(f", {c} string" for c in keep))
 
 
 def documents(parts: DataFrame) -> DataFrame:
@@ -307,10 +316,9 @@ def found(spans: DataFrame, docs: DataFrame, labelled: DataFrame) -> DataFrame:
     the model. Paragraphs of documents that docs doesn't hold count as unlabelled.
     """
     model = fit(labelled)
-    prose = one_of_each(spans.filter((F.col("block_type") == "paragraph") & F.col("doc_id").isNotNull()).select(F.col("span_id").cast("long").alias("id"), "doc_id", "text"), "id")
-    prose = stored(prose.filter(F.col("text").isNotNull()))
-    parts = segments(prose, model).join(prose.select("id", "doc_id"), "id")
-    parts = stored(parts)
+    prose = spans.filter((F.col("block_type") == "paragraph") & F.col("doc_id").isNotNull()).select(F.col("span_id").cast("long").alias("id"), "doc_id", "text")
+    # a paragraph sent twice gives the same segments twice: these are told apart, not the texts
+    parts = stored(segments(prose, model, ("doc_id",)).dropDuplicates(["id", "start"]))
     main = stored(documents(parts))
     labels = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label(F.col("lang"))).alias("label"))
     wrong = main.join(labels, "doc_id", "left").filter(~F.col("label").eqNullSafe(F.col("lang"))).select("doc_id", F.lit(0).cast("long").alias("span_id"), "lang")
