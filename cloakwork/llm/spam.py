@@ -41,6 +41,7 @@ NEEDS = ({}, {}, {"keywords": (2.0, math.inf), "figures": (-math.inf, 2.5)})
 WINDOW = 60
 
 _link = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*", re.I)
+_path = re.compile(r"\.[\w-]+/")
 _tag = re.compile(r"(?<!\w)#+[^\W_]\w{2,}")
 _token = re.compile(r"#?\d*[^\W\d_]+(?:['’][^\W\d_]+)?|#\d+|\d[\d.,:/-]*")
 
@@ -50,8 +51,9 @@ def features(text: str) -> tuple[float, ...]:
     of the words outside links that stand in runs without function words. repeats: share of word pairs
     in runs that came before within a window. sameness: how far word entropy is below that of as many
     different words. figures: share of numbers. All lie in 0..1."""
-    text = unicodedata.normalize("NFKC", text)
-    solid = max(1, len(text) - sum(map(str.isspace, text)))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    solid = max(1, sum(map(len, text.split())))
     linked = tagged = 0
 
     def link(m: re.Match) -> str:
@@ -64,27 +66,31 @@ def features(text: str) -> tuple[float, ...]:
         tagged += len(m.group())
         return " "
 
-    rest = _tag.sub(tag, _link.sub(link, text))
-    tokens = _token.findall(rest.lower())
-    words = [t for t in tokens if not t[0].isdigit()]
+    rest, low = text, text.lower()
+    if "://" in low or "www." in low or _path.search(low):
+        rest = _link.sub(link, rest)
+    if "#" in rest:
+        rest = _tag.sub(tag, rest)
+    tokens = _token.findall(low if rest is text else rest.lower())
+    words = [t for t in tokens if t[0] > "9" or t[0] == "#"]
     figures = 1 - len(words) / len(tokens) if tokens else 0.0
     if not words:
         return (linked / solid, tagged / solid, 0.0, 0.0, 0.0, figures)
     tally = Counter(words)
     best = max(_FW.values(), key=lambda fw: sum(n for w, n in tally.items() if w in fw))
-    dense = run = repeated = pairs = 0
+    dense = run = repeated = 0
     seen: dict[tuple[str, str], int] = {}
-    for at, w in enumerate(words):
+    for w in words:
         if w in best:
             run = 0
         else:
             run += 1
-            dense += (run == 4) * 4 + (run > 4)
-        if at:
-            pair = (words[at - 1], w)
-            pairs += 1
-            repeated += at - seen.get(pair, -WINDOW - 1) <= WINDOW
-            seen[pair] = at
+            if run >= 4:
+                dense += 4 if run == 4 else 1
+    for at, pair in enumerate(zip(words, words[1:])):
+        if at - seen.get(pair, -WINDOW - 1) <= WINDOW:
+            repeated += 1
+        seen[pair] = at
     counts = np.fromiter(tally.values(), dtype=float) / len(words)
     entropy = -float(np.sum(counts * np.log(counts)))
     usual = math.log(len(words)) if len(words) > 1 else 1.0
@@ -92,7 +98,7 @@ def features(text: str) -> tuple[float, ...]:
     # the parts outside links and tags count by their share of the text
     share = max(0.0, 1 - (linked + tagged) / solid)
     few = min(1.0, len(words) / 12)
-    return (linked / solid, tagged / solid, share * few * dense / len(words), share * few * repeated / max(1, pairs), share * few * sameness, figures)
+    return (linked / solid, tagged / solid, share * few * dense / len(words), share * few * repeated / max(1, len(words) - 1), share * few * sameness, figures)
 
 
 def language(lang: Column) -> Column:
