@@ -25,13 +25,13 @@ def found_texts(text: Column, regex: str) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
 
-def matches(text: Column, regex: str, found: Column | None = None) -> Column:
+def matches(text: Column, regex: str | Column, found: Column | None = None) -> Column:
     """array<struct<start, end, span>> of all matches, in order; 0-based code points, end exclusive.
 
     The expression must not match the empty string. Null texts have a null array. found: the column of
     `found_texts` from an earlier projection, so that texts without a match are scanned once only.
     """
-    found = found_texts(text, regex) if found is None else found
+    found = found_texts(text, regex) if found is None else found  # a column of expressions needs found
     gaps = F.split(text, regex, -1)
     empty = F.expr("cast(array() as array<struct<start:int,end:int,span:string>>)")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,26 +48,23 @@ def deduplicated(boxes: DataFrame, threshold: float = 0.5, located: bool = False
     return best_per_text(boxes, located).select(*COLUMNS).unionByName(apart(boxes, threshold))
 
 
-def _closure(pdf: pd.DataFrame) -> pd.DataFrame:
+def _closure(rows: list[dict]) -> list[dict]:
     """Boxes of a page merged until none touches another; of two, the surer gives its type and source."""
-    rows = pdf.sort_values("ord")
-    boxes = [[r.x, r.y, r.x + r.w, r.y + r.h, r.entity_type, r.confidence, r.source, r.text_found, r.ord] for r in rows.itertuples()]
+    boxes = [{**r, "r": r["x"] + r["w"], "b": r["y"] + r["h"]} for r in sorted(rows, key=lambda r: r["ord"])]
     merged = True
     while merged:
         merged, out = False, []
         for b in boxes:
-            k = next((k for k, o in enumerate(out) if o[0] <= b[2] and b[0] <= o[2] and o[1] <= b[3] and b[1] <= o[3]), None)
+            k = next((k for k, o in enumerate(out) if o["x"] <= b["r"] and b["x"] <= o["r"] and o["y"] <= b["b"] and b["y"] <= o["b"]), None)
             if k is None:
                 out.append(b)
-            else:
-                o, merged = out[k], True
-                first = o if o[5] >= b[5] else b
-                out[k] = [min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3]), *first[4:7], "", min(o[8], b[8])]
+                continue
+            o, merged = out[k], True
+            first = b if (b["confidence"] or 0) > (o["confidence"] or 0) else o
+            edges = {"x": min(o["x"], b["x"]), "y": min(o["y"], b["y"]), "r": max(o["r"], b["r"]), "b": max(o["b"], b["b"])}
+            out[k] = {**first, **edges, "text_found": "", "ord": min(o["ord"], b["ord"])}
         boxes = out
-    boxes.sort(key=lambda b: (b[1], b[0]))
-    return pd.DataFrame(
-        [(pdf["doc_id"].iloc[0], pdf["page"].iloc[0], b[8], b[0], b[1], b[2] - b[0], b[3] - b[1], *b[4:8]) for b in boxes], columns=list(COLUMNS)
-    )
+    return [{**b, "w": b["r"] - b["x"], "h": b["b"] - b["y"]} for b in sorted(boxes, key=lambda b: (b["y"], b["x"]))]
 
 
 def merged(boxes: DataFrame, pad: int = 4) -> DataFrame:
@@ -78,4 +77,12 @@ def merged(boxes: DataFrame, pad: int = 4) -> DataFrame:
         "doc_id", "page", "ord", F.greatest(F.col("x") - pad, F.lit(0)).alias("x"), F.greatest(F.col("y") - pad, F.lit(0)).alias("y"), (F.col("w") + 2 * pad).alias("w"), (F.col("h") + 2 * pad).alias("h"),
         "entity_type", "confidence", "source", F.coalesce("text_found", F.lit("")).alias("text_found"),
     )
-    return grown.groupBy("doc_id", "page").applyInPandas(_closure, grown.schema)
+    inner = [c for c in COLUMNS if c not in ("doc_id", "page")]
+    pages = grown.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*inner)).alias("boxes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(d, p, *(b[c] for c in inner)) for d, p, own in zip(pdf["doc_id"], pdf["page"], pdf["boxes"]) for b in _closure(list(own))]
+            yield pd.DataFrame(rows, columns=["doc_id", "page", *inner])
+
+    return pages.mapInPandas(run, grown.select("doc_id", "page", *inner).schema).select(*COLUMNS)

@@ -14,17 +14,21 @@ from cloakwork.functions.text import found_texts, matches, words_before
 BOOST, WORDS = 0.35, 5
 
 
+def score_of(pattern: Pattern) -> float:
+    """The score of a pattern's hit that passed the pattern's check, if it has one."""
+    sure = CHECKS[pattern.check][1] if pattern.check else None
+    return pattern.score if sure is None else sure
+
+
 def hits(text: Column, pattern: Pattern, texts: Column | None = None) -> Column:
     """array<struct<start, end, span, entity_type, pattern, score>> of a pattern's matches that hold.
     texts: what `found_texts` gave for the pattern, where an earlier projection has it."""
     found = matches(text, pattern.regex, texts)
-    check, sure = CHECKS.get(pattern.check, (None, None))
-    if check:
-        found = F.filter(found, lambda h: check(h["span"]))
-    score = pattern.score if sure is None else sure
+    if pattern.check:
+        found = F.filter(found, lambda h: CHECKS[pattern.check][0](h["span"]))
     return F.transform(
         found,
-        lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["span"].alias("span"), F.lit(pattern.entity).alias("entity_type"), F.lit(pattern.name).alias("pattern"), F.lit(float(score)).alias("score")),
+        lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["span"].alias("span"), F.lit(pattern.entity).alias("entity_type"), F.lit(pattern.name).alias("pattern"), F.lit(float(score_of(pattern))).alias("score")),
     )
 
 
@@ -34,8 +38,20 @@ def detect(df: DataFrame, text_col: str = "text", registry: Registry | None = No
     Texts are read once, whatever the number of patterns; null texts have no rows. The expressions are
     row-local, so the same frame may be a stream.
     """
-    found, every = _scanned(df.select(*dict.fromkeys([*keep, text_col])), text_col, registry or Registry())
-    return found.select(*keep, F.inline(every))
+    registry = registry or Registry()
+    columns = list(dict.fromkeys([*keep, text_col]))
+    texts = F.array(*[F.struct(F.lit(k).alias("which"), found_texts(F.col(text_col), p.regex).alias("texts")) for k, p in enumerate(registry.patterns)])
+    some = df.select(*columns, F.inline(F.filter(texts, lambda t: F.size(t["texts"]) > 0)))
+    # a row per text and pattern with matches: places and checks are worked out for these only
+    about = F.array(*[F.struct(F.lit(p.regex).alias("regex"), F.lit(p.entity).alias("entity_type"), F.lit(p.name).alias("pattern"), F.lit(float(score_of(p))).alias("score")) for p in registry.patterns])
+    some = some.withColumn("_p", F.get(about, F.col("which")))
+    placed = some.select(*columns, F.col("which").alias("_which"), F.inline(matches(F.col(text_col), F.col("_p.regex"), F.col("texts"))), "_p.entity_type", "_p.pattern", "_p.score")
+    holds = F.lit(True)
+    for name, (check, _) in CHECKS.items():
+        own = [k for k, p in enumerate(registry.patterns) if p.check == name]
+        if own:
+            holds = F.when(F.col("_which").isin(*own), check(F.col("span"))).otherwise(holds)
+    return placed.filter(holds).select(*keep, "start", "end", "span", "entity_type", "pattern", "score")
 
 
 def _scanned(df: DataFrame, text_col: str, registry: Registry) -> tuple[DataFrame, Column]:

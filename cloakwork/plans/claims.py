@@ -50,5 +50,7 @@ SELECT k AS doc_id, {_TEXT} AS text FROM claim_sums"""
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    tables = {name: spark.read.parquet(f"{d}/{name}.parquet") for name in ("orders", "customer")}
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    # the keys are few bytes, the work on the texts made of them is much: one small file shall not be one task
+    tables = {"orders": orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey"), "customer": spark.read.parquet(f"{d}/customer.parquet")}
     return spark.sql(sql("{orders}", "{customer}"), **tables)
