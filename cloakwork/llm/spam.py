@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -186,25 +187,45 @@ def fitted(rows: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.nd
     return model
 
 
+def in_cone(z: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """For each row of z, the non-negative weights of the columns whose sum comes nearest to it."""
+    weights, longest = np.zeros((len(z), columns.shape[1])), np.zeros(len(z))
+    for size in range(1, columns.shape[1] + 1):
+        for face in map(list, combinations(range(columns.shape[1]), size)):
+            x = z @ np.linalg.pinv(columns[:, face]).T
+            length = np.linalg.norm(x @ columns[:, face].T, axis=1)
+            better = np.flatnonzero((x >= 0).all(axis=1) & (length > longest))
+            longest[better] = length[better]
+            weights[better] = 0
+            weights[np.ix_(better, face)] = x[better]
+    return weights
+
+
 def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosine: float = 0.97) -> DataFrame:
-    """doc_id, distance, direction of the outliers that lie in a direction of spam.
+    """doc_id, distance, direction of the outliers that lie in a direction of spam or between several.
 
     distance: robust Mahalanobis distance. direction: index of the SPAMWARD direction with the largest
     cosine to the row's offset, in the space where the language's features are uncorrelated and of
     unit spread; it must reach `cosine`, the offset must lead towards more of the features and have
-    what the direction NEEDS, and the distance must reach the direction's cutoff.
+    what the direction NEEDS, and the distance must reach the direction's cutoff. Pages that mix kinds
+    of spam lie in the cone of the directions whose NEEDS they have: the cosine to it must reach
+    `cosine`, and the parts along the directions, each measured by its cutoff, must add up to 1;
+    direction is then that of the largest part.
     """
     whiten = {k: (m, np.linalg.cholesky(inverse).T) for k, (m, inverse) in model.items()}
+    cutoffs = np.array(CUTOFFS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[list(FEATURES)].to_numpy()
             distance, angle, which = np.zeros(len(pdf)), np.full(len(pdf), -1.0), np.zeros(len(pdf), dtype=np.int64)
+            mixed, largest = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=np.int64)
             for lang, (mean, root) in whiten.items():
                 own = np.flatnonzero((pdf["lang"] == lang).to_numpy())
                 offset = x[own] - mean
                 z = offset @ root.T
                 distance[own] = np.linalg.norm(z, axis=1)
+                meets = np.ones((len(own), len(SPAMWARD)), dtype=bool)
                 for k, way in enumerate(SPAMWARD):
                     on = np.flatnonzero(way)
                     basis = np.linalg.qr(root[:, on])[0]
@@ -212,12 +233,23 @@ def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosin
                     for f, (least, most) in NEEDS[k].items():
                         sd = math.sqrt(np.linalg.inv(root.T @ root)[FEATURES.index(f), FEATURES.index(f)])
                         z_f = offset[:, FEATURES.index(f)] / sd
-                        cos = np.where((z_f >= least) & (z_f <= most), cos, -1)
+                        meets[:, k] &= (z_f >= least) & (z_f <= most)
+                    cos = np.where(meets[:, k], cos, -1)
                     better = own[cos > angle[own]]
                     which[better] = k
                     angle[own] = np.maximum(angle[own], cos)
-            flagged = (angle >= cosine) & (distance >= np.array(CUTOFFS)[which])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "distance": distance, "direction": which})[flagged]
+                for met in np.unique(meets, axis=0):
+                    at = np.flatnonzero((meets == met).all(axis=1))
+                    weights = np.zeros((len(at), len(FEATURES)))
+                    on = np.flatnonzero(met @ np.array(SPAMWARD))
+                    weights[:, on] = in_cone(z[at], root[:, on])
+                    near = np.linalg.norm(weights @ root.T, axis=1) / np.maximum(distance[own[at]], 1e-12)
+                    parts = np.stack([np.linalg.norm((weights * way) @ root.T, axis=1) for way in SPAMWARD], axis=1) / cutoffs
+                    mixed[own[at]] = (near >= cosine) & (parts.sum(axis=1) >= 1)
+                    largest[own[at]] = parts.argmax(axis=1)
+            flagged = (angle >= cosine) & (distance >= cutoffs[which])
+            which = np.where(flagged, which, largest)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "distance": distance, "direction": which})[flagged | mixed]
 
     return rows.mapInPandas(run, "doc_id long, distance double, direction long")
 

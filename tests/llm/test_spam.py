@@ -50,3 +50,24 @@ def test_distances_match_numpy(spark):
     for r in data:
         z = np.array([r[f] for f in S.FEATURES]) - mean
         assert abs(z @ inverse @ z - r.d) < 1e-6 * max(1, r.d)
+
+
+def test_pages_that_mix_kinds_of_spam_are_found_and_prose_with_a_few_links_and_tags_is_not(spark):
+    phrases = ["cheap roof repair near me", "best roof repair online", "cheap roof repair Dunley", "roof repair near me Oakrill"]
+
+    def links(n):
+        return "\n".join(f"https://quotehub.example/cheap-auto-cover-{k}?id={k}" for k in range(n)) + "\n"
+
+    def tags(n):
+        return " ".join(f"#cheapcover{k} #bestquote{k}" for k in range(n)) + "\n"
+
+    def keywords(n):
+        return ", ".join(phrases[k % 4] for k in range(n)) + "\n"
+
+    prose = [PROSE[k % 3].format(n=k) for k in range(6)]
+    mixed = {
+        401: links(20) + tags(35), 402: keywords(40) + links(3), 403: keywords(40) + links(6), 404: keywords(40) + links(20), 405: keywords(40) + tags(20),
+        406: keywords(20) + tags(12) + links(8), 407: " ".join(prose[:2]) + "\n" + links(9) + tags(14), 408: prose[0] + "\n" + keywords(24) + links(6),
+    }
+    clean = {501: " ".join(prose) + "\n" + links(3) + tags(2), 502: " ".join(prose[:3]) + "\n" + links(2) + tags(2), 503: CLEAN[203] + "\n" + links(4) + tags(3), 504: " ".join(prose[:3]) + keywords(4) + links(1)}
+    assert sorted(r.doc_id for r in S.found(frame(spark, mixed | clean)).collect()) == sorted(mixed)
