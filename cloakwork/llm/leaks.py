@@ -24,6 +24,9 @@ TELLING = 0.6
 #: weighs 1), and keep this share of the weight of the part of the item that it covers; of a LONG
 #: passage, the second share is enough.
 WEIGHT, KEEP, LONG, KEEP_LONG = 2.0, 0.85, 25, 0.7
+#: Whatever its words weigh, a passage counts too if it keeps ten words of a dozen and has a run of up
+#: to so many words that no other item has.
+WORDS, RUN = 0.83, 6
 #: n-grams broadcast at once; a larger set of items is scanned for in blocks.
 BLOCK = 2_000_000
 
@@ -41,10 +44,14 @@ def spans_of_words(text: str) -> list[tuple[str, int, int]]:
 
 
 class Index:
-    """n-grams of item bodies and how much each word tells items apart."""
+    """n-grams of item bodies and how much each word tells items apart.
 
-    def __init__(self, bodies: dict[int, list[str]]):
+    shared: the runs of GRAM to RUN words of these bodies that items of other blocks have too.
+    """
+
+    def __init__(self, bodies: dict[int, list[str]], shared: frozenset[tuple[str, ...]] = frozenset()):
         self.bodies = bodies
+        self.shared = shared
         grams: dict[tuple[str, ...], set[int]] = defaultdict(set)
         seen: Counter[str] = Counter()
         for item, body in bodies.items():
@@ -71,13 +78,29 @@ class Index:
                     telling.add(items[0])
         found = {}
         for item, places in hits.items():
-            if item in telling or len(places) >= PASSAGE - GRAM:
-                passages = self._verify(item, text, places)
+            # ten words of a dozen, in three parts, leave four n-grams
+            likely = item in telling or len(places) >= PASSAGE - GRAM
+            if likely or len(places) >= PASSAGE - 2 * GRAM:
+                passages = self._verify(item, text, places, likely)
                 if passages:
                     found[item] = passages
         return found
 
-    def _verify(self, item: int, text: list[str], places: list[int]) -> list[tuple[int, int]]:
+    def _alone(self, item: int, run: list[str]) -> bool:
+        """Whether up to RUN words in a row of this run stand in the item and in no other."""
+        n = min(RUN, len(run))
+        for at in range(len(run) - n + 1 if n >= GRAM else 0):
+            part = tuple(run[at : at + n])
+            have = set(self.grams.get(part[:GRAM], ()))
+            for k in range(1, n - GRAM + 1):
+                if len(have) < 2:
+                    break
+                have.intersection_update(self.grams.get(part[k : k + GRAM], ()))
+            if item in have and part not in self.shared and not any(_holds(self.bodies[other], part) for other in have - {item}):
+                return True
+        return False
+
+    def _verify(self, item: int, text: list[str], places: list[int], likely: bool) -> list[tuple[int, int]]:
         body, found = self.bodies[item], []
         around = len(body)
         start = 0
@@ -85,12 +108,23 @@ class Index:
             if k == len(places) or places[k] - places[k - 1] > around:
                 low, high = max(0, places[start] - around), min(len(text), places[k - 1] + GRAM + around)
                 part = text[low:high]
-                if not self.telling[item].isdisjoint(part):
-                    found += [(low + a, low + b) for a, b in self._passages(body, part)]
+                if likely and not self.telling[item].isdisjoint(part) or self._runs_alone(item, text, places[start:k]):
+                    found += [(low + a, low + b) for a, b in self._passages(item, part)]
                 start = k
         return found
 
-    def _passages(self, body: list[str], part: list[str]) -> list[tuple[int, int]]:
+    def _runs_alone(self, item: int, text: list[str], places: list[int]) -> bool:
+        """Whether n-grams of the item at these places, enough for a passage, make up a run of it alone."""
+        first = 0
+        for k in range(1, len(places) + 1 if len(places) >= PASSAGE - 2 * GRAM else 0):
+            if k == len(places) or places[k] - places[k - 1] > 1:
+                if self._alone(item, text[places[first] : places[k - 1] + GRAM]):
+                    return True
+                first = k
+        return False
+
+    def _passages(self, item: int, part: list[str]) -> list[tuple[int, int]]:
+        body = self.bodies[item]
         blocks = [b for b in SequenceMatcher(None, body, part, autojunk=False).get_matching_blocks() if b.size]
         chains: list[list] = []
         for b in blocks:
@@ -110,9 +144,20 @@ class Index:
             total = sum(self.weight[body[k]] for k in whole)
             if matched >= PASSAGE and kept >= WEIGHT and max(weights) >= TELLING and kept >= total * (KEEP_LONG if matched >= LONG else KEEP):
                 found.append((chain[0].b, chain[-1].b + chain[-1].size))
+                continue
+            while len(chain) > 1 and chain[-1].size == 1 and self.weight[body[chain[-1].a]] < 0.5:
+                chain = chain[:-1]
+            matched = sum(b.size for b in chain)
+            most = max(chain[-1].a + chain[-1].size - chain[0].a, chain[-1].b + chain[-1].size - chain[0].b)
+            if matched >= PASSAGE and matched >= most * WORDS and any(self._alone(item, body[b.a : b.a + b.size]) for b in chain):
+                found.append((chain[0].b, chain[-1].b + chain[-1].size))
         return found
 
 
+def _holds(body: list[str], run: tuple[str, ...]) -> bool:
+    return any(body[k] == run[0] and tuple(body[k : k + len(run)]) == run for k in range(len(body) - len(run) + 1))
+
+
 def bodies(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[dict[int, list[str]]]:
     """Item bodies (all but the first line, the instruction) in blocks of at most BLOCK n-grams.
 
@@ -135,18 +180,37 @@ def bodies(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
         yield block
 
 
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """An index of each block of items. What no other item has is counted over all blocks."""
+    blocks = bodies(items)
+    block, several = next(blocks, None), False
+    while block is not None:
+        following = next(blocks, None)
+        several |= following is not None
+        shared: set[tuple[str, ...]] = set()
+        for n in range(GRAM, RUN + 1 if several else GRAM):
+            own = {r for b in block.values() for r in zip(*(b[k:] for k in range(n)))}
+            for other in bodies(items):
+                for item, body in other.items():
+                    if item not in block:
+                        shared.update(own.intersection(zip(*(body[k:] for k in range(n)))))
+        yield Index(block, frozenset(shared))
+        block = following
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id for every document that holds an item's body or a passage of it.
 
     A passage has PASSAGE words or more in common with the body, in order, bridging alterations of up
-    to BRIDGE words, and keeps most of what tells the item from others. Texts are scanned whole. Null
+    to BRIDGE words, and keeps most of what tells the item from others, or most of the words and a run
+    of them that no other item has. Texts are scanned whole. Null
     ids, null and empty texts give no rows; each pair comes once; other columns are ignored.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     out = spark.createDataFrame([], "doc_id long, item_id long")
-    for block in bodies(items):
-        index = spark.sparkContext.broadcast(Index(block))
+    for each in indexes(items):
+        index = spark.sparkContext.broadcast(each)
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -164,8 +228,8 @@ def cleaned(documents: DataFrame, items: DataFrame, doc_col: str = "doc_id", tex
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("items"))
-    for block in bodies(items):
-        index = spark.sparkContext.broadcast(Index(block))
+    for each in indexes(items):
+        index = spark.sparkContext.broadcast(each)
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in batches:

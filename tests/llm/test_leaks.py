@@ -51,6 +51,42 @@ def test_cleaned_texts_hold_no_leak(spark):
     assert out[1].text == FILL and out[1]["items"] == [] and out[2].text is None
 
 
+COMMON = [
+    "stamps and a list of salt tiles whoever opens an unsealed sail",
+    "whoever opens a list of stamps and an unsealed sail of salt tiles",
+    "an unsealed sail and salt tiles whoever opens a list of stamps",
+    "a list of salt stamps and whoever opens an unsealed sail of tiles",
+]
+RARE = "whoever opens a list of stamps for kormiful and salt tiles of an unsealed sail"
+
+
+def common(spark, more=()):
+    return spark.createDataFrame([(k + 1, "Read on.\n" + t) for k, t in enumerate([*COMMON, RARE, *more])], "item_id int, text string")
+
+
+def test_a_dozen_words_that_many_items_have_are_a_leak_in_the_order_of_one(spark):
+    texts = [FILL + COMMON[0] + ". " + FILL, FILL + COMMON[3] + ". " + FILL, FILL + RARE.replace("kormiful", "him") + ". " + FILL]
+    assert sorted((r.doc_id, r.item_id) for r in L.leaks(docs(spark, texts), common(spark)).collect()) == [(0, 1), (1, 4), (2, 5)]
+    out = {r.doc_id: r for r in L.cleaned(docs(spark, texts), common(spark)).collect()}
+    assert [out[k]["items"] for k in range(3)] == [[1], [4], [5]] and all("unsealed" not in r.text for r in out.values())
+
+
+def test_runs_are_counted_over_all_blocks(spark, monkeypatch):
+    twice = common(spark, ["ferns " + COMMON[0] + " ferns"])
+    (whole,) = L.indexes(twice)
+    monkeypatch.setattr(L, "BLOCK", 15)
+    parts = list(L.indexes(twice))
+    assert len(parts) == 6
+    for item, body in whole.bodies.items():
+        (own,) = [p for p in parts if item in p.bodies]
+        for n in range(3, 9):
+            for k in range(len(body) - n + 1):
+                alone = not any(o != item and L._holds(b, tuple(body[k : k + n])) for o, b in whole.bodies.items())
+                if n <= L.RUN:
+                    assert whole._alone(item, body[k : k + n]) == own._alone(item, body[k : k + n]) == alone
+    assert not whole._alone(1, L.words(COMMON[0])) and not parts[0]._alone(1, L.words(COMMON[0]))
+
+
 @pytest.mark.parametrize("side", ["docs", "items"])
 def test_empty_tables(spark, side):
     d, i = docs(spark, [LINES[0]]), items(spark)
