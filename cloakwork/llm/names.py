@@ -16,6 +16,8 @@ from cloakwork.session import stored
 
 #: Least Jaro-Winkler similarity of two spellings of a word.
 ALIKE = 0.84
+#: Letters of a surname or a word of a firm's name from which any one of them may be another letter.
+LONG = 6
 
 # Nicknames and the given names that they stand for.
 NICKNAMES = {
@@ -112,7 +114,7 @@ def code(word: str) -> str:
     w = word
     for a, b in (("ph", "f"), ("ck", "k"), ("sch", "s"), ("tz", "s"), ("th", "t"), ("qu", "kv")):
         w = w.replace(a, b)
-    w = w.translate(str.maketrans("cqwyzj", "kkvisi"))
+    w = w.translate(str.maketrans("cqwyzjx", "kkvisis"))
     w = re.sub(r"(.)\1+", r"\1", w[:1] + w[1:].replace("h", ""))
     first = "a" if w[:1] in "aeiou" and w else w[:1]
     return first + re.sub(r"[aeiou]", "", w[1:])
@@ -172,6 +174,12 @@ def alike(a: str, b: str) -> bool:
     return min(len(a), len(b)) >= 4 and jaro_winkler(a, b) >= ALIKE and slip(a, b)
 
 
+@lru_cache(200_000)
+def alike_surnames(a: str, b: str) -> bool:
+    """Surnames, or words of firms' names, as spellings of one: long ones may also have any one letter taken for another."""
+    return alike(a, b) or len(a) == len(b) >= LONG and sum(x != y for x, y in zip(a, b)) == 1 and jaro_winkler(a, b) >= ALIKE
+
+
 @lru_cache(50_000)
 def stands_for(given: str) -> frozenset[str]:
     """The given names that a name may stand for, itself included."""
@@ -189,7 +197,7 @@ def same_given(a: str, b: str) -> bool:
 def same_person(a: str, b: str) -> bool:
     """Keys of persons, "surname|given given": same surname, first name and no other middle initial."""
     (s, g), (t, h) = ((k.split("|")[0], k.split("|")[1].split()) for k in (a, b))
-    if not alike(s, t) or not same_given(g[0], h[0]):
+    if not alike_surnames(s, t) or not same_given(g[0], h[0]):
         return False
     return all(x[0] == y[0] for x, y in zip(g[1:], h[1:]))
 
@@ -205,7 +213,7 @@ def same_firm(a: str, b: str) -> bool:
     for w in y:
         if w in left:
             left.remove(w)
-    return not left and not rest or len(left) == 1 and len(rest) == 1 and alike(left[0], rest[0])
+    return not left and not rest or len(left) == 1 and len(rest) == 1 and alike_surnames(left[0], rest[0])
 
 
 def keyed(strings: DataFrame) -> DataFrame:

@@ -80,3 +80,11 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_letter_taken_for_another_links_surnames_and_keeps_relatives_apart(spark):
+    groups = [["Thomas Zoskatov", "Tom Zoxkatov"], ["Samantha Fosginer", "Foxginer, Samantha"], ["James Beslagart", "James Beslajart"], ["Gerald Furmupelt"], ["Gerard Furmupelt"], ["Susan Bani"], ["Susan Bari"]]
+    got = {}
+    for r in N.linked(spark.createDataFrame([("PERSON", t) for g in groups for t in g], "kind string, text string")).collect():
+        got.setdefault(r.entity, []).append(r.text)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
