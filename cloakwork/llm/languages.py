@@ -10,37 +10,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloakwork.session import stored
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt")
-#: Fitting reads at most about this many labelled texts of a language, and builds the automaton of a
-#: language from at most this many characters of them. Both bound the model, not what it judges.
-SAMPLE_TEXTS, SAMPLE_CHARS = 800, 24_000
-#: Languages get texts of the length of the shortest, or this length if that is less.
-LEAST_CHARS = 2_500
-#: A sentence with fewer letters than LEAST says too little by itself and goes with its neighbours; so
-#: does one whose best language is this little better than the next, the more if it is SHORT.
-LEAST, SHORT, UNSURE, UNSURE_SHORT = 9, 18, 0.4, 0.7
+#: Bounds of the fit, and of nothing that is judged: it reads about this many different texts of a
+#: language, whole; keeps at most this many different sentences of them, those that most texts share
+#: first, of at most PIECE_CHARS letters; and builds the language's automaton from at most this many letters.
+SAMPLE_TEXTS, SAMPLE_PIECES, PIECE_CHARS, SAMPLE_CHARS = 3000, 3000, 400, 24_000
+#: Bits that another language must save to be worth a change of language between two sentences, and to
+#: call a passage foreign in a document of another language. Two phrases cost some 29 bits.
+#: MARGIN: the share of its cost in the document's language that a foreign passage must save.
+SWITCH, GAIN, MARGIN = 30.0, 30.0, 0.4
 #: Letters of the automata: a to z and the blank.
 ALPHABET = 27
 
-_cut = re.compile(r"(?<=[.!?;])\s+(?=\S)|\s+[/|]\s+|\s+--\s+|\n\s*\n")
-_address = re.compile(r"\S*\s?(?:@|[\[(]at[\])])\s?\S*|\b\S*\d\S*")
+# not after an initial, nor after a stop that stands by itself
+_cut = re.compile(r"(?<=[^\s.][.!?;])(?<!\b[A-Za-z]\.)\s+(?=\S)|\s+[/|]\s+|\s+--\s+|\n\s*\n")
+_address = re.compile(r"\S*\s?(?:@|[\[(]at[\])])\s?\S*(?:\s\.\s\S+)*|\b\S*\d\S*", re.I)
 
 
 _word = re.compile(r"[^\W\d_]+")
 
 
+def shouted(sentence: str) -> bool:
+    """Whether a sentence is mostly in capitals."""
+    return sum(map(str.isupper, sentence)) * 2 > sum(map(str.isalpha, sentence))
+
+
 def unnamed(sentence: str) -> str:
     """The sentence without its capitalised words, which name people and places as often as things;
     a first word stays unless another capitalised word follows it. A sentence mostly in capitals stays
     whole."""
     words = list(_word.finditer(sentence))
-    upper = sum(map(str.isupper, sentence))
-    if not words or upper * 2 > sum(map(str.isalpha, sentence)):
+    if not words or shouted(sentence):
         return sentence
     capital = [m.group()[0].isupper() for m in words]
     out, at = [], 0
@@ -51,15 +56,19 @@ def unnamed(sentence: str) -> str:
     return "".join(out) + sentence[at:]
 
 
-def letters(sentence: str) -> str:
+def letters(sentence: str, known: frozenset[str] | None = None) -> str:
     """The sentence in the automata's alphabet: lower case without accents; names, words with digits,
-    mail addresses and all other characters become one blank."""
-    text = _address.sub(" ", unnamed(sentence))
+    mail addresses and all other characters become one blank. known: words of any language; capitals
+    hide which words are names, so a sentence in capitals keeps these words only, if it has any."""
+    text = unnamed(_address.sub(" ", sentence))
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.replace("ß", "ss"))
         text = "".join(c for c in text if not unicodedata.combining(c))
     text = text.lower()
-    return re.sub(r"[^a-z]+", " ", text).strip()
+    text = re.sub(r"[^a-z]+", " ", text).strip()
+    if known is not None and shouted(sentence):
+        text = " ".join(w for w in text.split() if w in known) or text
+    return text
 
 
 class Automaton:
@@ -131,46 +140,50 @@ def phrases(tables: list[np.ndarray], texts: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Automata of languages. `judge` gives each text's phrases per character and language."""
+    """Automata of languages. `bits` gives what each text costs by the cross-parsing with each."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.tables = [Automaton(texts[k]).table for k in self.languages]
-
-    def judge(self, texts: list[str]) -> np.ndarray:
-        """Phrases per 100 characters, a row per text; texts without letters have rows of inf."""
-        return self.judge_letters([letters(t) for t in texts])
-
-    def judge_letters(self, texts: list[str]) -> np.ndarray:
-        """The same for texts that `letters` made."""
-        out = np.full((len(texts), len(self.languages)), np.inf)
+        self.words = frozenset(w for t in texts.values() for w in t.split())
+        # a phrase is named by its place in the automaton's text: longer texts make longer phrases, but
+        # dearer ones
+        self.price = np.array([math.log2(max(2, len(texts[k]))) for k in self.languages])
+
+    def __getstate__(self) -> tuple:
+        moves = [np.nonzero(t) for t in self.tables]
+        return self.languages, self.words, self.price, [(len(t), (at[0] * ALPHABET + at[1]).astype(np.int32), t[at]) for t, at in zip(self.tables, moves)]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.languages, self.words, self.price, self.tables = *state[:3], []
+        for size, at, to in state[3]:
+            table = np.zeros(size * ALPHABET, dtype=np.int32)
+            table[at] = to
+            self.tables.append(table.reshape(size, ALPHABET))
+
+    def bits(self, texts: list[str]) -> np.ndarray:
+        """Phrases times their price, a row per text that `letters` made; 0 for texts without letters."""
+        out = np.zeros((len(texts), len(self.languages)))
         for at in range(0, len(texts), 4096):
             part = texts[at : at + 4096]
-            counts = phrases(self.tables, [f" {t} " if t else "" for t in part])
-            for k, t in enumerate(part):
-                if t:
-                    out[at + k] = counts[k] * 100 / (len(t) + 2)
+            out[at : at + len(part)] = phrases(self.tables, [f" {t} " if t else "" for t in part]) * self.price
         return out
 
 
-def clean_sample(rows: list[tuple[str, str]], weights: dict[str, float] | None = None) -> dict[str, str]:
-    """Labelled sentences whose words speak for their label, joined up to SAMPLE_CHARS per language.
+def clean_sample(rows: list[tuple[str, str, float]]) -> dict[str, str]:
+    """Labelled sentences (lang, sentence as `letters` gives it, weight) whose words speak for their label,
+    joined in order up to SAMPLE_CHARS per language.
 
     Some labels are wrong, but for each word more texts of its language are labelled rightly than texts
-    of it wrongly in any one way. So a sentence stays under its label if, over its words, the number of
-    sentences of that label beats that of every other label. weights: how many rows of the data a row of
-    each label stands for.
+    of it wrongly in any one way. So a sentence stays under its label if, over its words, the weight of
+    sentences of that label beats that of every other label.
     """
     counts: dict[str, Counter[str]] = defaultdict(Counter)
     pieces: dict[str, Counter[str]] = defaultdict(Counter)
-    for lang, text in rows:
-        weight = (weights or {}).get(lang, 1.0)
-        for sentence in sentences(text):
-            own = letters(sentence[2])
-            if own:
-                pieces[lang][own] += weight
-                for w in set(own.split()):
-                    counts[lang][w] += weight
+    for lang, piece, weight in rows:
+        pieces[lang][piece] += weight
+        for w in set(piece.split()):
+            counts[lang][w] += weight
 
     logs = {k: {w: math.log(n + 0.1) for w, n in c.items()} for k, c in counts.items()}
     none = math.log(0.1)
@@ -183,15 +196,13 @@ def clean_sample(rows: list[tuple[str, str]], weights: dict[str, float] | None =
     out = {}
     for lang in sorted(pieces):
         kept, size = [], 0
-        for sentence in list(pieces[lang]):
-            if size <= SAMPLE_CHARS and len(sentence) >= SHORT // 2 and not outvoted(lang, sentence):
+        for sentence in pieces[lang]:
+            if size + len(sentence) <= SAMPLE_CHARS and not outvoted(lang, sentence):
                 kept.append(sentence)
                 size += len(sentence) + 1
         if kept:
             out[lang] = " " + " ".join(kept) + " "
-    # texts of one length, so that none finds longer matches only for being longer
-    size = max(LEAST_CHARS, min(map(len, out.values()))) if out else 0
-    return {lang: text[:size] for lang, text in out.items()}
+    return out
 
 
 def label(lang: Column) -> Column:
@@ -200,23 +211,36 @@ def label(lang: Column) -> Column:
     return F.when(short.isin(*LANGUAGES), short)
 
 
-def fit(labelled: DataFrame) -> Model:
-    """The model of labelled(lang, text): a bounded sample of each language, chosen by hash of the text.
+def fit(labelled: DataFrame, seed: int = 0) -> Model:
+    """The model of labelled(lang, text), from a bounded sample of each language's different texts.
 
-    Rows with an unknown label or without text don't count. Languages without a clean sentence have no
-    automaton; with no languages at all nothing can be judged.
+    Texts are chosen by hash and seed, so that of copies one counts, and read whole; their sentences are
+    counted before anything comes to the driver, but for those in capitals, which hide their names. Rows with an unknown label or without text don't count.
+    Languages without a clean sentence have no automaton; with no languages at all nothing can be judged.
     """
     rows = labelled.select(label(F.col("lang")).alias("lang"), "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return Model({})
     bound = F.lit(0)
     for lang, n in sizes.items():
         bound = F.when(F.col("lang") == lang, int((1 << 30) * min(1.0, SAMPLE_TEXTS / n))).otherwise(bound)
-    sample = rows.filter(F.col("h") < bound).select("lang", F.substring("text", 1, 4000).alias("text"), "h").orderBy("h", "text").collect()
-    read = Counter(r["lang"] for r in sample)
-    return Model(clean_sample([(r["lang"], r["text"]) for r in sample], {k: n / max(1, read[k]) for k, n in sizes.items()}))
+    sample = rows.filter(F.pmod("h", F.lit(1 << 30)) < bound).select("lang", "text").dropDuplicates(["lang", "text"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tally: Counter[tuple[str, str]] = Counter()
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                tally.update({(lang, piece) for _, _, s in sentences(text) if not shouted(s) and 4 < len(piece := letters(s)) <= PIECE_CHARS})
+                tally[lang, ""] += 1
+            yield pd.DataFrame([(*k, n) for k, n in tally.items()], columns=["lang", "piece", "n"])
+
+    pieces = sample.mapInPandas(cut, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64(F.lit(seed), "piece"), "piece")
+    kept = pieces.withColumn("place", F.row_number().over(order)).filter((F.col("place") <= SAMPLE_PIECES) | (F.col("piece") == "")).orderBy("lang", "place").collect()
+    read = {r["lang"]: r["n"] for r in kept if not r["piece"]}
+    return Model(clean_sample([(r["lang"], r["piece"], r["n"] * sizes[r["lang"]] / read[r["lang"]]) for r in kept if r["piece"]]))
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -231,85 +255,93 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def segments(rows: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """rows(id, text) to segments(id, start, end, lang, confidence, size): maximal runs of sentences of
-    one language, with 0-based code-point offsets and the number of letters.
+def smoothed(costs: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """For each sentence the language on its text's cheapest path: the costs of its sentences, plus
+    `switch` for each change of language. starts: the row of costs with which each text begins. Texts
+    advance together; of equally cheap ways the one without a change wins, then the first language."""
+    lengths = np.diff(np.append(starts, len(costs)))
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    most = int(lengths[0]) if len(lengths) else 0
+    alive = np.searchsorted(-lengths, -np.arange(most), side="left")
+    back = np.zeros(costs.shape, dtype=np.int8)
+    every = np.arange(costs.shape[1])
+    total = costs[starts].copy()
+    for at in range(1, most):
+        n = alive[at]
+        best = total[:n].argmin(axis=1)
+        jump = total[np.arange(n), best] + switch
+        stays = total[:n] <= jump[:, None]
+        back[starts[:n] + at] = np.where(stays, every, best[:, None])
+        total[:n] = np.where(stays, total[:n], jump[:, None]) + costs[starts[:n] + at]
+    out = np.zeros(len(costs), dtype=np.int64)
+    state = total.argmin(axis=1)
+    for at in range(most - 1, -1, -1):
+        n = alive[at]
+        out[starts[:n] + at] = state[:n]
+        state[:n] = back[starts[:n] + at, state[:n]]
+    return out
 
-    The language with the fewest normalised phrases wins; confidence is 1 - its phrases over those of
-    the next language. Sentences with few letters join the segment before them, or the one after.
-    Texts without letters have no segment. Whole texts are read. keep: string columns to carry along.
+
+def segments(rows: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rows(id, text) to segments(id, start, end, lang, confidence, size, bits): maximal runs of sentences
+    of one language, with 0-based code-point offsets, the number of letters, and what the run costs in
+    each of the model's languages.
+
+    The language with the fewest normalised phrases wins, over the runs that the sentences of a text fall
+    into at least cost; so a sentence that says too little by itself goes with its neighbours.
+    confidence is 1 - the run's cost over that in the next language. Texts without letters have no
+    segment. Whole texts are read. keep: string columns to carry along.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
-            parts = [(i, a, b, s) for i, t in enumerate(pdf["text"]) for a, b, s in sentences(t)]
-            out = []
-            if parts and model.languages:
-                plain = [letters(p[3]) for p in parts]
-                scores, sizes = model.judge_letters(plain), [len(t) for t in plain]
-                best = np.argmin(scores, axis=1)
-                if scores.shape[1] > 1:
-                    two = np.partition(scores, 1, axis=1)[:, :2]
-                    with np.errstate(invalid="ignore"):
-                        sure = np.where(np.isfinite(two[:, 1]), 1 - two[:, 0] / two[:, 1], 0)
-                else:
-                    sure = np.ones(len(parts))
-                run_id = None
-                for k, (i, a, b, _) in enumerate(parts):
-                    if i != run_id:
-                        run_id, waiting = i, []
-                    if sizes[k] < LEAST or sure[k] < (UNSURE_SHORT if sizes[k] < SHORT else UNSURE):
-                        if out and out[-1][0] == i:
-                            out[-1][2] = b
-                            out[-1][5] += sizes[k]
-                        else:
-                            waiting.append((a, sizes[k], int(best[k]), float(sure[k]), b))
-                        continue
-                    start = waiting[0][0] if waiting else a
-                    size = sizes[k] + sum(w[1] for w in waiting)
-                    waiting = []
-                    lang = model.languages[best[k]]
-                    if out and out[-1][0] == i and out[-1][3] == lang:
-                        last = out[-1]
-                        last[4] = (last[4] * last[5] + float(sure[k]) * size) / (last[5] + size)
-                        last[2], last[5] = b, last[5] + size
-                    else:
-                        out.append([i, start, b, lang, float(sure[k]), size])
-                    continue
-                # texts of short sentences only are judged as they are
-                have = {o[0] for o in out}
-                texts = [(i, t) for i, t in enumerate(pdf["text"]) if i not in have and letters(t)]
-                if texts:
-                    scores = model.judge([t for _, t in texts])
-                    for (i, t), s in zip(texts, scores):
-                        first, second = (np.sort(s)[:2] if len(s) > 1 else (s[0], np.inf))
-                        out.append([i, 0, len(t), model.languages[int(np.argmin(s))], float(1 - first / second) if second else 0.0, len(letters(t))])
-            found = pd.DataFrame(out, columns=["id", "start", "end", "lang", "confidence", "size"])
-            at = found["id"].astype(int).to_numpy()
-            for c in ("id", *keep):
-                found[c] = pdf[c].to_numpy()[at]
-            yield found
+            parts = [(i, a, b, letters(s, model.words)) for i, t in enumerate(pdf["text"]) for a, b, s in sentences(t)]
+            sounding = {p[0] for p in parts if p[3]} if model.languages else set()
+            parts = [p for p in parts if p[0] in sounding]
+            owner = np.array([p[0] for p in parts], dtype=np.int64)
+            costs = model.bits([p[3] for p in parts])
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = smoothed(costs, first) if len(parts) else owner
+            heads = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(best, prepend=-1) != 0))
+            ends = np.append(heads, len(parts))[1:] - 1
+            sums = np.add.reduceat(costs, heads, axis=0) if len(parts) else costs
+            sizes = np.add.reduceat([len(p[3]) for p in parts], heads) if len(parts) else owner
+            lang = best[heads]
+            own = sums[np.arange(len(heads)), lang]
+            others = sums.copy()
+            others[np.arange(len(heads)), lang] = np.inf
+            sure = np.clip(1 - own / np.maximum(others.min(axis=1, initial=np.inf), 1e-9), 0, 1)
+            at = owner[heads]
+            yield pd.DataFrame(
+                {
+                    "id": pdf["id"].to_numpy()[at], "start": [parts[k][1] for k in heads], "end": [parts[k][2] for k in ends], "lang": np.array(model.languages, dtype=object)[lang],
+                    "confidence": sure, "size": sizes, "bits": pd.Series(list(sums), dtype=object), **{c: pdf[c].to_numpy()[at] for c in keep},
+                }
+            )
 
     clean = rows.select("id", *keep, "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    return clean.mapInPandas(run, "id long, start int, end int, lang string, confidence double, size int" + "".join(f", {c} string" for c in keep))
+    return clean.mapInPandas(run, "id long, start int, end int, lang string, confidence double, size int, bits array<double>" + "".join(f", {c} string" for c in keep))
 
 
 def documents(parts: DataFrame) -> DataFrame:
-    """parts(doc_id, lang, confidence, size) to doc_id, lang, confidence: the language of most letters.
+    """parts(doc_id, lang, confidence, start, end) to doc_id, lang, confidence: the language of most text.
 
-    confidence is the language's share of the letters times its mean confidence. Ties go to the
-    language that comes first by name.
+    confidence is the language's share of the text times its mean confidence. Ties go to the language
+    that comes first by name.
     """
-    sums = parts.groupBy("doc_id", "lang").agg(F.sum("size").alias("size"), F.sum(F.col("confidence") * F.col("size")).alias("sure"))
+    size = F.col("end") - F.col("start")
+    sums = parts.groupBy("doc_id", "lang").agg(F.sum(size).alias("size"), F.sum(F.col("confidence") * size).alias("sure"))
     best = sums.groupBy("doc_id").agg(F.sum("size").alias("total"), F.max(F.struct("size", F.struct(*[(F.lit(0) - F.ascii(F.substring("lang", k, 1))).alias(f"o{k}") for k in (1, 2)]).alias("order"), "lang", "sure")).alias("b"))
     return best.select("doc_id", F.col("b.lang").alias("lang"), (F.col("b.sure") / F.col("total")).alias("confidence"))
 
 
 def found(spans: DataFrame, docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """doc_id, span_id, lang: documents whose label is missing or wrong (span_id 0, main language), and
-    paragraphs that are wholly or partly in another language than the document's main one.
+    paragraphs that are wholly or partly in another language than the document's main one: it must
+    save GAIN bits over the main one.
 
     spans(span_id, doc_id, block_type, text): each span once; only paragraphs with letters are judged.
     docs(doc_id, lang): the first label by name if a document has several. labelled(lang, text) fits
@@ -323,4 +355,7 @@ def found(spans: DataFrame, docs: DataFrame, labelled: DataFrame) -> DataFrame:
     labels = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label(F.col("lang"))).alias("label"))
     wrong = main.join(labels, "doc_id", "left").filter(~F.col("label").eqNullSafe(F.col("lang"))).select("doc_id", F.lit(0).cast("long").alias("span_id"), "lang")
     other = parts.join(main.select("doc_id", F.col("lang").alias("main")), "doc_id").filter(F.col("lang") != F.col("main"))
+    known = F.array(*[F.lit(k) for k in model.languages or LANGUAGES])
+    in_main, own = (F.col("bits")[(F.array_position(known, F.col(c)) - 1).cast("int")] for c in ("main", "lang"))
+    other = other.filter((in_main - own >= GAIN) & (in_main - own >= MARGIN * in_main))
     return wrong.unionByName(other.select("doc_id", F.col("id").alias("span_id"), "lang").distinct())

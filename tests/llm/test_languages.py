@@ -58,7 +58,7 @@ def test_wrong_labels_are_outvoted(spark):
     assert model.languages == ["de", "en", "fr"]
     rng = random.Random(3)
     texts = [(lang, sentence(rng, lang)) for lang in TEXT for _ in range(30)]
-    best = model.judge([t for _, t in texts]).argmin(axis=1)
+    best = model.bits([L.letters(t) for _, t in texts]).argmin(axis=1)
     assert all(model.languages[b] == lang for b, (lang, _) in zip(best, texts))
 
 
@@ -93,3 +93,51 @@ def test_nothing_to_learn_from_or_to_judge(spark):
     rows = spark.createDataFrame([(1, "some text")], "id long, text string")
     assert L.segments(rows, L.fit(empty)).count() == 0
     assert L.segments(rows.limit(0), L.fit(labelled(spark))).count() == 0
+
+
+def test_copies_of_a_text_count_once_and_whole_texts_are_read(spark):
+    rng = random.Random(5)
+    late = "x1. " * 3000 + "vraiment tard dans ce texte."
+    rows = [("fr", late)] * 500 + [(lang, " ".join(sentence(rng, lang) for _ in range(3))) for lang in TEXT for _ in range(30)]
+    model = L.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert {"vraiment", "tard"} <= model.words
+
+
+def test_results_hardly_depend_on_the_texts_that_the_fit_happens_to_read(spark, monkeypatch):
+    rng = random.Random(11)
+    few = {k: [(k, " ".join(sentence(rng, k) for _ in range(3)) + f" {rng.choice(['Copies to Ann Lee.', 'Ask for Bo Kim.'])}") for _ in range(120)] for k in TEXT}
+    rows = spark.createDataFrame([r for v in few.values() for r in v], "lang string, text string")
+    spans = [(i, f"d{i % 40}", "paragraph", " ".join(sentence(rng, k) for k in (["en", "en", "en", "fr", "de"][j] for j in rng.sample(range(5), 2)))) for i in range(200)]
+    spans = spark.createDataFrame(spans, "span_id long, doc_id string, block_type string, text string")
+    docs = spark.createDataFrame([(f"d{i}", "en") for i in range(40)], "doc_id string, lang string")
+    monkeypatch.setattr(L, "SAMPLE_TEXTS", 40)
+    fit, results = L.fit, []
+    for seed in range(10):
+        monkeypatch.setattr(L, "fit", lambda labelled, seed=seed: fit(labelled, seed))
+        results.append({tuple(r) for r in L.found(spans, docs, rows).collect()})
+    common, every = set.intersection(*results), set.union(*results)
+    assert len(common) >= 0.99 * len(every) > 0
+
+
+def test_smoothing_equals_trying_all_ways():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = [1, 4, 2, 5]
+    costs = rng.integers(0, 60, (sum(sizes), 3)).astype(float)
+    starts = np.cumsum([0, *sizes[:-1]])
+    got = L.smoothed(costs, starts, 25.0)
+
+    def cost(a, way):
+        return sum(costs[a + k, s] for k, s in enumerate(way)) + 25.0 * sum(x != y for x, y in zip(way, way[1:]))
+
+    for a, n in zip(starts, sizes):
+        assert cost(a, got[a : a + n]) == min(cost(a, way) for way in product(range(3), repeat=n))
+
+
+def test_names_mail_and_initials_say_nothing():
+    assert L.letters("Ask for Bo Kim - b.kim@inbox . oakrill . test") == "ask for"
+    assert [s for _, _, s in L.sentences("Copies to Bo Kim and P. Satkepold. No witness.")] == ["Copies to Bo Kim and P. Satkepold.", "No witness."]
+    assert L.letters("COPIES TO BO KIM", frozenset({"copies", "to"})) == "copies to"
