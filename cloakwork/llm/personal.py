@@ -1,10 +1,10 @@
 """Problem 2: personal information inside free text.
 
-The corpus tells what discloses a person. Terms - words of names, and the shapes of numbers with the
-words before them - are counted where a protected entity is known (fields of a typed hit) and
-everywhere; how much more often a term stands in protected fields than chance would have it is its
-disclosure, in bits. Candidates whose terms disclose less than a threshold stay, all others are
-generalised to typed placeholders.
+The corpus tells what discloses a person. Terms - words of names, shapes of numbers, kinds of mail
+domains and streets - are counted where the type of a whole field is known, and words of names
+everywhere; how much oftener a term stands in protected fields than elsewhere is its disclosure, in
+bits. Patterns and a name grammar only propose: a proposal comes with a prior, the corpus adds what its
+term discloses, and what reaches the threshold is generalised to a typed placeholder.
 """
 
 from __future__ import annotations
@@ -13,19 +13,25 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloakwork.functions.filters import normal_label
 from cloakwork.llm import bloom
 from cloakwork.llm.names import LEGAL, TITLES, person
 from cloakwork.session import one_of_each, stored
 
-#: Bits of disclosure from which a term counts as naming a person; bits against a number's shape from
-#: which the corpus overrules its pattern; the weight of the pattern, in observations.
-NAMES_BITS, AGAINST_BITS, PRIOR = 1.0, -1.0, 3.0
+#: Bits of disclosure from which a word counts as part of a name.
+NAMES_BITS = 1.0
+#: Bits for or against a type from which a shape counts, and what it then weighs; fields that a shape
+#: has for and against any type before it is seen. Shares decide, whatever the size of the corpus.
+SHAPE_BITS, EVIDENCE, SMOOTH = 2.0, 4.0, 1.0
+#: Prior bits: of a form that nothing else has (a mail address, a street after a number), of a pattern,
+#: of a word before a number that names its type, of one that names another, and of any other number.
+EVIDENT, PATTERN, CUE, OTHERWISE, ANY = 6.0, 3.0, 3.0, -6.0, -3.0
 
-# What is found in fields of these types is protected as such.
-PROTECTED = {"PERSON": "NAME", "PHONE_NUMBER": "PHONE", "US_SSN": "ID_NUMBER", "US_ITIN": "ID_NUMBER", "US_PASSPORT": "ID_NUMBER", "US_DRIVER_LICENSE": "ID_NUMBER", "EMAIL_ADDRESS": "EMAIL", "LOCATION": "STREET_ADDRESS"}
+# What is found in fields of these types, as `functions.filters` names them, is protected.
+PROTECTED = {"PERSON": "NAME", "PHONE_NUMBER": "PHONE", "SSN": "ID_NUMBER", "US_SSN": "ID_NUMBER", "US_ITIN": "ID_NUMBER", "US_PASSPORT": "ID_NUMBER", "US_DRIVER_LICENSE": "ID_NUMBER", "EMAIL_ADDRESS": "EMAIL", "LOCATION": "STREET_ADDRESS"}
 
 # Words before a number that say that it isn't a person's.
 NOT_PERSONAL = set("npi ein fein policy pol claim clm cla file serial lot batch inv invoice job account acct member group cpt icd code reference ref meter reading rev form order certificate authorization report provider plate rev. no.policy tin vin po case ticket".split())
@@ -71,11 +77,19 @@ _word = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _camel = re.compile(r"([A-Z][a-z]{2,})([A-Z][a-z]{2,})$")
 _near = re.compile(r"\.?\s+$")
 _comma = re.compile(r"\s*,\s*$")
+_licence = re.compile(r"[A-Z].{3}-")
+_extension = re.compile(r"(?:x|ext).*", re.I | re.S)
+
+
+#: Any number, and a house number with capitalised words after it.
+_any = re.compile(r"(?<![\w#$@/.+-])[A-Z]{0,3}[0-9][0-9OA-Z]*(?:[-. ][0-9][0-9O]*){0,4}(?![\w-]|\.\d)")
+_house = re.compile(rf"(?<![\w#$.,/-])(?<!\d )\d{{1,5}}\s+(?:(?:[NSEW]{{1,2}}\.|{_cap})\s+){{1,4}}(?P<kind>{_cap})")
+_mail = re.compile(r"[^\s@]+\s?@\s?[^\s@]+")
 
 
 def shape(text: str) -> str:
     """Digits as 9, letters as A, white space as one blank."""
-    return re.sub(r"\s+", " ", re.sub(r"[A-Z]", "A", re.sub(r"[0-9O]", "9", text.upper().replace("O", "0"))))
+    return re.sub(r"\s+", " ", re.sub(r"[A-Z]", "A", re.sub(r"[0-9O]", "9", text.upper())))
 
 
 def before(text: str, start: int) -> str:
@@ -88,51 +102,80 @@ def digits(text: str) -> int:
     return sum(c.isdigit() for c in text)
 
 
-def numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, list[str]]]:
-    """E-mail addresses, street addresses, identity and phone numbers, with their terms."""
+def numbers(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, str, float]]:
+    """Proposals of e-mail and street addresses, identity and phone numbers: (type, start, end, term,
+    prior bits). Of a number that fits no pattern every type is proposed."""
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    for m in _email.finditer(text) if "@" in text or _at.search(text) else ():
-        taken.append(m.span())
-        yield "EMAIL", m.start(), m.end(), ["EMAIL|@"]
+    if "@" in text or _at.search(text):
+        for m in _email.finditer(text):
+            taken.append(m.span())
+            yield "EMAIL", m.start(), m.end(), f"@{m.group().rpartition('.')[2].strip(' )]').lower()}", EVIDENT
+        for m in _mail.finditer(text):
+            if free(*m.span()):
+                taken.append(m.span())
+                yield "EMAIL", m.start(), m.end(), f"@{m.group().rpartition('.')[2].lower()}", ANY
     if not _digits.search(text):
         return
     for m in _social.finditer(text):
-        word = before(text, m.start())
-        if free(*m.span()) and digits(m.group()) >= 5 and word not in NOT_PERSONAL:
+        if free(*m.span()) and digits(m.group()) >= 5:
             taken.append(m.span())
-            yield "ID_NUMBER", m.start(), m.end(), [f"ID_NUMBER|{shape(m.group())}|{'cue' if _cue.search(text[: m.start()]) else word}"]
+            cue = CUE if _cue.search(text[max(0, m.start() - 40) : m.start()]) else OTHERWISE if before(text, m.start()) in NOT_PERSONAL else 0
+            yield "ID_NUMBER", m.start(), m.end(), shape(m.group()), PATTERN + cue
     for m in _number.finditer(text):
-        licence = re.match(r"[A-Z].{3}-", m.group())
-        if free(*m.span()) and digits(m.group()) >= 4 and (_cue.search(text[max(0, m.start() - 40) : m.start()]) or licence):
+        cue = CUE if _cue.search(text[max(0, m.start() - 40) : m.start()]) else 0 if _licence.match(m.group()) else OTHERWISE
+        if free(*m.span()) and digits(m.group()) >= 4 and cue >= 0:
             taken.append(m.span())
-            yield "ID_NUMBER", m.start(), m.end(), [f"ID_NUMBER|{shape(m.group())}|cue"]
+            yield "ID_NUMBER", m.start(), m.end(), shape(m.group()), PATTERN + cue
     for m in _phone.finditer(text):
-        word, n = before(text, m.start()), sum(c.isdigit() or c == "O" for c in re.sub(r"(?i)(?:x|ext).*", "", m.group()))
-        if free(*m.span()) and digits(m.group()) >= 6 and 9 <= n <= 14 and not (word in NOT_PERSONAL and text[max(0, m.start() - 12) : m.start()].rstrip(" .:#\n").lower().endswith(word)):
+        own = _extension.sub("", m.group()).rstrip()
+        if free(*m.span()) and digits(m.group()) >= 6 and 9 <= sum(c.isdigit() or c == "O" for c in own) <= 14:
             taken.append(m.span())
-            yield "PHONE", m.start(), m.end(), [f"PHONE|{shape(re.sub('(?i)(?:x|ext).*', '', m.group())).rstrip()}|"]
+            yield "PHONE", m.start(), m.end(), shape(own), PATTERN + (OTHERWISE if _other(text, m.start()) else 0)
     lowered = re.sub(r"\s", " ", text.lower())
     for kind, pattern in enumerate(_address):
         for m in pattern.finditer(text) if any(h in lowered for h in _hint[kind]) else ():
             if free(*m.span()):
                 taken.append(m.span())
-                yield "STREET_ADDRESS", m.start(), m.start() + len(m.group().rstrip()), [f"STREET_ADDRESS|{kind}"]
+                yield "STREET_ADDRESS", m.start(), m.start() + len(m.group().rstrip()), f"~{kind}", EVIDENT
+    for m in _house.finditer(text):
+        if free(*m.span()):
+            taken.append(m.span())
+            yield "STREET_ADDRESS", m.start(), m.end(), f"~{m['kind'].lower()}", ANY
+    for m in _any.finditer(text):
+        if free(*m.span()) and digits(m.group()) >= 4:
+            term, other = shape(m.group()), OTHERWISE if _other(text, m.start()) else 0
+            for kind in ("ID_NUMBER", "PHONE"):
+                yield kind, m.start(), m.end(), term, ANY + other
+
+
+def _other(text: str, start: int) -> bool:
+    """Whether the word right before a number says that it is of another kind."""
+    word = before(text, start)
+    return word in NOT_PERSONAL and text[max(0, start - 12) : start].rstrip(" .:#\n").lower().endswith(word)
 
 
 class Lexicon:
-    """Words that stand as given names and as surnames in protected fields."""
+    """Terms that the corpus found to disclose: words of names, and shapes of numbers."""
 
-    def __init__(self, words: bloom.Bloom):
-        self.words = words
+    def __init__(self, terms: bloom.Bloom):
+        self.terms = terms
 
     def given(self, word: str) -> bool:
-        return f"g:{word}" in self.words
+        return f"g:{word}" in self.terms
 
     def surname(self, word: str) -> bool:
-        return f"s:{word}" in self.words
+        return f"s:{word}" in self.terms
+
+    def names(self, terms: list[str]) -> bool:
+        """Whether one of a name's words discloses a person by itself."""
+        return any(f"!{t}" in self.terms for t in terms)
+
+    def bits(self, kind: str, term: str) -> float:
+        """What a term of a number or an address says for a type, or against it."""
+        return EVIDENCE * ((f"+{kind}|{term}" in self.terms) - (f"-{kind}|{term}" in self.terms))
 
 
 def named(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int, list[str]]]:
@@ -203,11 +246,15 @@ def named(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> Iterator
             i += 1
 
 
-def find(text: str, lexicon: Lexicon) -> list[tuple[str, int, int, list[str]]]:
-    """(type, start, end, terms) of all candidates in a text, none overlapping another, in order."""
-    taken: list[tuple[int, int]] = []
-    out = list(numbers(text, taken))
-    out += list(named(text, lexicon, taken))
+def find(text: str, lexicon: Lexicon, threshold: float = 0.0) -> list[tuple[str, int, int]]:
+    """(type, start, end) of all items in a text, none overlapping another, in order. threshold: bits of
+    prior and disclosure together from which a proposal is an item."""
+    out, found = [], []
+    for kind, start, end, term, prior in numbers(text, []):
+        if prior + lexicon.bits(kind, term) >= threshold and (not out or out[-1][1:] != (start, end)):
+            out.append((kind, start, end))
+            found.append((start, end))
+    out += [(kind, a, b) for kind, a, b, terms in named(text, lexicon, found) if lexicon.names(terms)]
     return sorted(out, key=lambda x: x[1])
 
 
@@ -220,56 +267,62 @@ def parts_of_names(text: str) -> list[str]:
     return [f"s:{surname}"] + [f"g:{g}" for g in given if len(g) > 1]
 
 
-def disclosure(fields: DataFrame) -> tuple[DataFrame, bloom.Bloom]:
-    """terms(term, bits), for every term of a name, over the whole corpus; and the filter of all terms.
+def _kind(kind: Column) -> Column:
+    """The protected type that the type of a field stands for, "" for another type, null for none."""
+    known = F.create_map(*[F.lit(x) for k in PROTECTED.items() for x in k])
+    return F.when(kind.isNotNull(), F.coalesce(known[normal_label(kind)], F.lit("")))
+
 
-    bits = log2( P(term stands in a protected field) / share of words that do ), where a field is
-    protected if it is typed PERSON and reads as a name.
+def name_words(fields: DataFrame) -> DataFrame:
+    """term, bits: the words of names in fields that are typed as persons' and read as names.
+
+    bits = log2(share of the word's places that such fields hold / share of all words' places that they
+    hold), over the whole corpus; g: before given names and s: before surnames.
     """
 
-    def protected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"word": [t for text in pdf["text"] for t in parts_of_names(text)]}, dtype=object)
+            yield pd.DataFrame({"term": [t for text in pdf["text"] for t in parts_of_names(text)]}, dtype=object)
 
-    seeds = fields.filter("kind = 'PERSON'").select("text").mapInPandas(protected, "word string")
-    counts = stored(seeds.groupBy("word").agg(F.count("*").alias("own")))
-    words = bloom.build(counts.select("word"))
-    shared = fields.sparkSession.sparkContext.broadcast(words)
+    persons = fields.filter(_kind(F.col("kind")) == "NAME").select("src", "row_id", "text").dropDuplicates(["src", "row_id"])
+    own = persons.select("text").mapInPandas(parsed, "term string").groupBy("term").agg(F.count("*").alias("own"))
+    own = stored(own.withColumn("word", F.substring("term", 3, 1 << 20)))
+    parts = F.regexp_extract_all(F.regexp_replace("text", "(?<=[a-z])(?=[A-Z])", " "), F.lit(r"\p{L}+(?:['’]\p{L}+)*"), F.lit(0))
+    words = stored(fields.select(F.explode(parts).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")))
+    total, held = words.agg(F.sum("n")).first()[0] or 1, own.agg(F.sum("own")).first()[0] or 0
+    base = min(1.0, max(held, 1) / total)
+    return own.join(words, "word").select("term", F.log2(F.col("own") / F.greatest("n", "own") / F.lit(base)).alias("bits"))
 
-    def everywhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for pdf in batches:
-            out, total = [], 0
-            for text in pdf["text"]:
-                for w in _word.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text)):
-                    total += 1
-                    w = w.lower()
-                    out += [t for t in (f"g:{w}", f"s:{w}") if t in known]
-            seen = pd.Series(out + ["*"], dtype=object).value_counts()
-            seen["*"] = total
-            yield pd.DataFrame({"word": seen.index, "n": seen.to_numpy()})
-
-    all_words = stored(fields.select("text").mapInPandas(everywhere, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = all_words.filter("word = '*'").agg(F.sum("n")).first()[0] or 1
-    own = counts.agg(F.sum("own")).first()[0] or 0
-    base = max(own, 1) / max(total, 1)
-    bits = F.log2((F.col("own") / F.greatest("n", "own")) / F.lit(min(base, 1.0)))
-    return counts.join(all_words, "word").select(F.col("word").alias("term"), bits.alias("bits")), words
-
-
-def candidates(fields: DataFrame, words: bloom.Bloom) -> DataFrame:
-    """fields(src, row_id, kind, text) to (src, row_id, kind, pii_type, start, end, terms)."""
-    shared = fields.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(shared.value)
-        for pdf in batches:
-            rows = []
-            for src, row_id, kind, text in zip(pdf["src"], pdf["row_id"], pdf["kind"], pdf["text"]):
-                rows += [(src, row_id, kind, t, a, b, terms) for t, a, b, terms in find(text, lexicon)]
-            yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "pii_type", "start", "end", "terms"])
+def shapes(fields: DataFrame) -> DataFrame:
+    """kind, term, bits: shapes of numbers, ends of mail addresses and kinds of streets in fields that are
+    nothing but one value of a known type.
 
-    return fields.mapInPandas(run, "src string, row_id long, kind string, pii_type string, start int, end int, terms array<string>")
+    bits = log2 of the fields of the kind that have the term against those of other types that have it.
+    Each field counts once.
+    """
+    typed = fields.withColumn("own", _kind(F.col("kind"))).filter("own is not null and own <> 'NAME'").dropDuplicates(["src", "row_id"])
+    value = F.regexp_replace(F.regexp_replace(F.trim("text"), r"(?is)(?<=\d)\s?(?:x|ext\.?)\s?\d{1,5}$", ""), r"\s+", " ")
+    number = F.when(value.rlike(r"^[+(]?[A-Z]{0,3}\(?[0-9O][0-9OA-Z ().+-]*$") & ~value.rlike("[A-Z]{4}"), F.regexp_replace(F.regexp_replace(F.upper(value), "[0-9O]", "9"), "[A-Z]", "A"))
+    mail = F.when(value.rlike(r"^\S+\s?@.*\.\s?[A-Za-z0-9]+$"), F.concat(F.lit("@"), F.lower(F.regexp_extract(value, r"([A-Za-z0-9]+)$", 1))))
+    street = F.nullif(F.lower(F.regexp_extract(value, r"^\d{1,5} (?:[^\s,]+ ){1,5}(\p{L}+)\.?(?:,|$)", 1)), F.lit(""))
+    terms = F.array_compact(F.array(mail, number, F.concat(F.lit("~"), street)))
+    counts = typed.select("own", F.explode(terms).alias("term")).groupBy("term", "own").agg(F.count("*").alias("n")).groupBy("term").agg(F.collect_list(F.struct("own", "n")).alias("by"), F.sum("n").alias("all"))
+    kinds = F.array(*[F.lit(k) for k in sorted({*PROTECTED.values()} - {"NAME"})])
+    each = counts.select("term", "by", "all", F.explode(kinds).alias("kind"))
+    own = F.aggregate("by", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["own"] == F.col("kind"), x["n"]).otherwise(0))
+    return each.select("kind", "term", F.log2((own + SMOOTH) / (F.col("all") - own + SMOOTH)).alias("bits"))
+
+
+def lexicon(fields: DataFrame, names_bits: float = NAMES_BITS, shape_bits: float = SHAPE_BITS) -> bloom.Bloom:
+    """The terms that disclose, or speak against a type, as a filter of bounded size.
+
+    Words of names are in it as they are, for the grammar, and with "!" if they disclose by themselves;
+    shapes with the sign of their bits.
+    """
+    words = name_words(fields).select(F.explode(F.when(F.col("bits") >= names_bits, F.array("term", F.concat(F.lit("!"), "term"))).otherwise(F.array("term"))).alias("word"))
+    telling = shapes(fields).filter(F.abs("bits") >= shape_bits)
+    return bloom.build(words.unionByName(telling.select(F.concat(F.when(F.col("bits") > 0, "+").otherwise("-"), "kind", F.lit("|"), "term").alias("word"))))
 
 
 def items(fields: DataFrame) -> DataFrame:
@@ -280,22 +333,16 @@ def items(fields: DataFrame) -> DataFrame:
     Offsets are 0-based code points, end exclusive.
     """
     fields = fields.filter("text is not null and src is not null and row_id is not null")
-    bits, words = disclosure(fields)
-    found = stored(candidates(fields, words).dropDuplicates(["src", "row_id", "start"]))
-    # names: some word must disclose a person
-    terms = found.filter("pii_type = 'NAME'").select("src", "row_id", "start", F.explode("terms").alias("term"))
-    telling = terms.join(bits, "term").groupBy("src", "row_id", "start").agg(F.max("bits").alias("bits")).filter(F.col("bits") >= NAMES_BITS)
-    people = found.filter("pii_type = 'NAME'").join(telling, ["src", "row_id", "start"], "left_semi")
-    # numbers and addresses: the shape stands, unless fields of other types hold it more often
-    known = F.create_map(*[F.lit(x) for k in PROTECTED.items() for x in k])
-    shapes = found.filter("pii_type <> 'NAME' and kind is not null and kind <> 'INSURANCE'").withColumn("term", F.col("terms")[0])
-    own = (known[F.col("kind")] == F.col("pii_type")).cast("int")
-    odds = shapes.groupBy("term").agg(F.sum(F.coalesce(own, F.lit(0))).alias("own"), F.count("*").alias("n"))
-    odds = odds.select("term", F.log2((F.col("own") + PRIOR) / (F.col("n") - F.col("own") + 1.0)).alias("bits"))
-    others = found.filter("pii_type <> 'NAME'").withColumn("term", F.col("terms")[0])
-    others = others.join(odds.filter(F.col("bits") < AGAINST_BITS).select("term"), "term", "left_anti")
-    columns = ["src", "row_id", "pii_type", "start", "end"]
-    return people.select(*columns).unionByName(others.select(*columns))
+    shared = fields.sparkSession.sparkContext.broadcast(lexicon(fields))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Lexicon(shared.value)
+        for pdf in batches:
+            rows = [(src, row_id, *item) for src, row_id, text in zip(pdf["src"], pdf["row_id"], pdf["text"]) for item in find(text, terms)]
+            yield pd.DataFrame(rows, columns=["src", "row_id", "pii_type", "start", "end"])
+
+    found = fields.select("src", "row_id", "text").mapInPandas(run, "src string, row_id long, pii_type string, start int, end int")
+    return found.dropDuplicates(["src", "row_id", "start"])
 
 
 def sanitised(fields: DataFrame, found: DataFrame) -> DataFrame:

@@ -54,6 +54,42 @@ def test_the_corpus_overrules_a_shape(spark):
     assert P.items(df.filter("kind is null")).count() == 1
 
 
+def typed(spark, rows):
+    return spark.createDataFrame([("redaction_boxes", k, kind, text) for k, (kind, text) in enumerate(rows)] + [("layout_spans", 1, None, "see 44.555.21 there, 12-345/6 here and 700-55-4321 or a@b.test")], "src string, row_id long, kind string, text string")
+
+
+def spans_of(df):
+    return sorted((r.pii_type, r.start) for r in P.items(df).filter("src = 'layout_spans'").collect())
+
+
+def test_disclosure_decides_what_patterns_only_propose(spark):
+    plain = [("ID_NUMBER", 39), ("EMAIL", 54)]
+    assert spans_of(typed(spark, [])) == sorted(plain)
+    # a shape that no pattern knows is found where typed fields hold it, under any spelling of the type
+    for kind in ("PHONE_NUMBER", "phone_number"):
+        assert spans_of(typed(spark, [(kind, f"{k}.555.{k}") for k in range(10, 40)])) == sorted([*plain, ("PHONE", 4)])
+    # a pattern is overruled where fields of other types hold its shape; a mail address by nothing
+    other = [("POLICY_NUM", f"{k + 100}-55-4321") for k in range(40)] + [("POLICY_NUM", f"x{k}@b.test") for k in range(40)]
+    assert spans_of(typed(spark, other)) == [("EMAIL", 54)]
+    # lines that hold more than the value say nothing of it
+    assert spans_of(typed(spark, [("POLICY_NUM", f"see {k + 100}-55-4321, filed") for k in range(40)])) == sorted(plain)
+
+
+def test_the_verdict_depends_on_shares_and_not_on_the_size_of_the_corpus(spark):
+    mix = [("US_SSN", f"{k + 100}-55-4321") for k in range(6)] + [("POLICY_NUM", f"{k + 200}-55-4321") for k in range(4)]
+    for times in (1, 10, 60):
+        assert ("ID_NUMBER", 39) in spans_of(typed(spark, mix * times))
+    one = typed(spark, [("POLICY_NUM", "100-55-4321")])
+    assert ("ID_NUMBER", 39) in spans_of(one.union(one.filter("kind is not null")).union(one.filter("kind is not null")))  # one field, sent thrice
+
+
+def test_a_name_needs_a_word_that_discloses(spark):
+    rows = [("redaction_boxes", k, "PERSON", t) for k, t in enumerate(["Will Form", "Will Kukkepes"])]
+    rows += [("layout_spans", k, None, "They will form a form if they will, and Will Form it; Will Kukkepes left.") for k in range(50)]
+    df = spark.createDataFrame(rows, "src string, row_id long, kind string, text string")
+    assert {(r.start, r.pii_type) for r in P.items(df).filter("src = 'layout_spans'").collect()} == {(54, "NAME")}
+
+
 def test_empty_tables(spark):
     assert P.items(fields(spark).limit(0)).count() == 0
 
