@@ -88,6 +88,11 @@ def release() -> None:
             continue
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks keep all cores busy with work that takes long for its bytes."""
+    return max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
     """One row per key; rows whose key is null are left out (they can't be told apart)."""
     for key in keys:
