@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -27,40 +28,51 @@ WEIGHT, KEEP, LONG, KEEP_LONG = 2.0, 0.85, 25, 0.7
 #: Whatever its words weigh, a passage counts too if it keeps ten words of a dozen and has a run of up
 #: to so many words that no other item has.
 WORDS, RUN = 0.83, 6
-#: n-grams broadcast at once; a larger set of items is scanned for in blocks.
-BLOCK = 2_000_000
+#: Words of items that are broadcast at once, some 60 MB in a worker; a larger set of items is scanned
+#: for in blocks.
+BLOCK = 250_000
 
 _word = re.compile(r"[^\W_]+")
 
 
+def spans_of_words(text: str) -> list[tuple[str, int, int]]:
+    """Words in lower case, without punctuation, with their place in the text. An apostrophe parts words;
+    ligatures and wide letters are plain ones, and what a character stands for lies where it does."""
+    if text.isascii():
+        return [(m.group().lower(), *m.span()) for m in _word.finditer(text)]
+    return [(w, *m.span()) for m in _word.finditer(text) for w in _word.findall(unicodedata.normalize("NFKC", m.group()).lower())]
+
+
 def words(text: str) -> list[str]:
-    """Words in lower case, without punctuation; an apostrophe parts words."""
-    return _word.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+    """The words of `spans_of_words`."""
+    return _word.findall(text.lower()) if text.isascii() else [w for w, _, _ in spans_of_words(text)]
 
 
-def spans_of_words(text: str) -> list[tuple[str, int, int]]:
-    """Words as `words` gives them, with their place; length-changing normalisation is left out."""
-    return [(m.group().lower(), m.start(), m.end()) for m in _word.finditer(text)]
+@dataclass(frozen=True)
+class Elsewhere:
+    """What items of other blocks have of a block: how many hold each word, which runs of GRAM to RUN
+    words any of them holds, and how many there are."""
 
+    seen: dict[str, int]
+    runs: frozenset[tuple[str, ...]]
+    items: int
 
-class Index:
-    """n-grams of item bodies and how much each word tells items apart.
 
-    shared: the runs of GRAM to RUN words of these bodies that items of other blocks have too.
-    """
+class Index:
+    """n-grams of item bodies and how much each word tells items apart, over the items of all blocks."""
 
-    def __init__(self, bodies: dict[int, list[str]], shared: frozenset[tuple[str, ...]] = frozenset()):
+    def __init__(self, bodies: dict[int, list[str]], elsewhere: Elsewhere = Elsewhere({}, frozenset(), 0)):
         self.bodies = bodies
-        self.shared = shared
+        self.shared = elsewhere.runs
         grams: dict[tuple[str, ...], set[int]] = defaultdict(set)
-        seen: Counter[str] = Counter()
+        seen: Counter[str] = Counter(elsewhere.seen)
         for item, body in bodies.items():
             seen.update(set(body))
             for gram in zip(*(body[k:] for k in range(GRAM))):
                 grams[gram].add(item)
         self.grams = {g: tuple(sorted(i)) for g, i in grams.items()}
-        base = math.log(len(bodies) + 1)
-        self.weight = {w: math.log((len(bodies) + 1) / n) / base for w, n in seen.items()}
+        every = len(bodies) + elsewhere.items + 1
+        self.weight = {w: math.log(every / n) / math.log(every) for w, n in seen.items()}
         self.telling = {i: {w for w in b if self.weight[w] >= TELLING} for i, b in bodies.items()}
 
     def scan(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
@@ -74,7 +86,7 @@ class Index:
                 at = first
                 for item in items:
                     hits[item].append(at)
-                if len(items) == 1:
+                if len(items) == 1 and (not self.shared or tuple(text[first : last + 1]) not in self.shared):
                     telling.add(items[0])
         found = {}
         for item, places in hits.items():
@@ -158,20 +170,26 @@ def _holds(body: list[str], run: tuple[str, ...]) -> bool:
     return any(body[k] == run[0] and tuple(body[k : k + len(run)]) == run for k in range(len(body) - len(run) + 1))
 
 
+def _bodies(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, body of the items that count, once each: the text but for its first line, the instruction."""
+    text = F.col(text_col)
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.when(F.contains(text, F.lit("\n")), F.expr(f"substring(`{text_col}`, locate('\n', `{text_col}`) + 1)")).alias("body"))
+    return rows.filter("id is not null and body is not null").groupBy("id").agg(F.min("body").alias("body"))
+
+
 def bodies(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[dict[int, list[str]]]:
-    """Item bodies (all but the first line, the instruction) in blocks of at most BLOCK n-grams.
+    """Item bodies (all but the first line, the instruction) in blocks of at most BLOCK words.
 
-    Null ids and items without a body don't count. Items are a stated query set: they are read block
-    by block, and each block is searched for in all documents.
+    Null ids and items without a body don't count; of rows with one id the smallest body does. Items are
+    a stated query set: they are read block by block, and each block is searched for in all documents.
     """
     block: dict[int, list[str]] = {}
     size = 0
-    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    for row in rows.filter("id is not null and text is not null").toLocalIterator():
-        body = words(row["text"].partition("\n")[2])
-        if len(body) < GRAM or row["id"] in block:
+    for row in _bodies(items, id_col, text_col).orderBy("id").toLocalIterator():
+        body = words(row["body"])
+        if len(body) < GRAM:
             continue
-        if size + len(body) > BLOCK:
+        if block and size + len(body) > BLOCK:
             yield block
             block, size = {}, 0
         block[row["id"]] = body
@@ -180,21 +198,39 @@ def bodies(items: DataFrame, id_col: str = "item_id", text_col: str = "text") ->
         yield block
 
 
+def elsewhere(items: DataFrame, block: dict[int, list[str]], id_col: str = "item_id", text_col: str = "text") -> Elsewhere:
+    """What all items but the block's have of it, found by one distributed pass over the items. The answer
+    is no larger than the block."""
+    own_runs = {r for b in block.values() for n in range(GRAM, RUN + 1) for r in zip(*(b[k:] for k in range(n)))}
+    shared = items.sparkSession.sparkContext.broadcast((frozenset(block), frozenset(w for b in block.values() for w in b), own_runs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vocabulary, runs = shared.value
+        for pdf in batches:
+            seen: Counter[str] = Counter()
+            for item, text in zip(pdf["id"], pdf["body"]):
+                body = words(text)
+                if item not in ids and len(body) >= GRAM:
+                    seen.update(vocabulary.intersection(body))
+                    seen.update(" ".join(r) for r in runs.intersection(r for n in range(GRAM, RUN + 1) for r in zip(*(body[k:] for k in range(n)))))
+                    seen[""] += 1
+            yield pd.DataFrame({"run": list(seen), "n": list(seen.values())})
+
+    rows = _bodies(items, id_col, text_col).mapInPandas(run, "run string, n long").groupBy("run").agg(F.sum("n").alias("n")).collect()
+    found = {r["run"]: r["n"] for r in rows}
+    others = found.pop("", 0)
+    return Elsewhere({r: n for r, n in found.items() if " " not in r}, frozenset(tuple(r.split(" ")) for r in found if " " in r), others)
+
+
 def indexes(items: DataFrame) -> Iterator[Index]:
-    """An index of each block of items. What no other item has is counted over all blocks."""
+    """An index of each block of items; words and runs are counted over all blocks, so that the result
+    doesn't depend on how items fall into blocks."""
     blocks = bodies(items)
     block, several = next(blocks, None), False
     while block is not None:
         following = next(blocks, None)
         several |= following is not None
-        shared: set[tuple[str, ...]] = set()
-        for n in range(GRAM, RUN + 1 if several else GRAM):
-            own = {r for b in block.values() for r in zip(*(b[k:] for k in range(n)))}
-            for other in bodies(items):
-                for item, body in other.items():
-                    if item not in block:
-                        shared.update(own.intersection(zip(*(body[k:] for k in range(n)))))
-        yield Index(block, frozenset(shared))
+        yield Index(block, elsewhere(items, block)) if several else Index(block)
         block = following
 
 

@@ -91,3 +91,22 @@ def test_runs_are_counted_over_all_blocks(spark, monkeypatch):
 def test_empty_tables(spark, side):
     d, i = docs(spark, [LINES[0]]), items(spark)
     assert L.leaks(d.limit(0) if side == "docs" else d, i.limit(0) if side == "items" else i).count() == 0
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    many = common(spark, [f"{w} " + COMMON[k % 4] + f" {w} and then {LINES[0]}" for k, w in enumerate("alder birch cedar dogwood elm fir ginkgo hazel".split())])
+    texts = [FILL + t + ". " + FILL for t in [*COMMON, RARE, COMMON[0] + " elm and then " + LINES[0], "cedar " + COMMON[2]]]
+    results, weights = [], []
+    for size in (1_000_000, 120, 15):
+        monkeypatch.setattr(L, "BLOCK", size)
+        weights.append({w: round(x, 12) for index in L.indexes(many) for w, x in index.weight.items()})
+        results.append(sorted((r.doc_id, r.item_id) for r in L.leaks(docs(spark, texts), many).collect()))
+    assert results[0] == results[1] == results[2] and results[0] and weights[0] == weights[1] == weights[2]
+
+
+def test_what_is_found_is_cleaned_whatever_the_letters(spark):
+    wide = RARE.replace("a", "ａ").replace("ff", "ﬀ").replace("fi", "ﬁ")
+    d = docs(spark, [FILL + wide + ". " + FILL])
+    assert [(r.doc_id, r.item_id) for r in L.leaks(d, common(spark)).collect()] == [(0, 5)]
+    (out,) = L.cleaned(d, common(spark)).collect()
+    assert out["items"] == [5] and "kormiful" not in out.text and FILL.split()[0] in out.text
