@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.session import one_of_each, stored
+from cloakwork.session import one_of_each, stored, tasks
 
 #: Tokens, as a multiple of the capacity, of the texts that are packed together. Each group of texts
 #: wastes less than one container by rounding, so some 1 / GROUP of the space at most.
@@ -143,6 +143,7 @@ def assigned(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     if len(kinds) > KINDS:
         raise ValueError(f"more than {KINDS} kinds of containers")
     each = F.array(*[F.struct(F.lit(c).alias("container"), F.lit(n).cast("long").alias("capacity")) for c, n in kinds]) if kinds else F.expr("cast(array() as array<struct<container:string,capacity:bigint>>)")
+    sizes = stored(sizes)  # tokens are counted once
     items = sizes.filter("tokens > 0").select("doc_id", "tokens", F.inline(each))
     full = items.filter("tokens > capacity").select("container", "capacity", "doc_id", "tokens", F.explode(F.expr("sequence(0L, (tokens - 1) div capacity)")).alias("part"))
     full = full.withColumn("start", F.col("part") * F.col("capacity")).withColumn("tokens", F.expr("least(capacity, tokens - start)"))
@@ -151,7 +152,7 @@ def assigned(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     filled = pieces.filter("tokens = capacity").select("container", F.format_string("%d.%d", "doc_id", "part").alias("window"), "doc_id", "part", "start", "tokens")
     rest = stored(pieces.filter("tokens < capacity"))
     # as many groups as the tokens of the container's items fill, whatever the number of items
-    totals = rest.groupBy("container").agg(F.sum("tokens").alias("total"), F.count("*").alias("pieces"))
+    totals = stored(rest.groupBy("container").agg(F.sum("tokens").alias("total"), F.count("*").alias("pieces")))
     groups = rest.join(totals, "container").withColumn("grp", F.expr(f"pmod(xxhash64(doc_id, part), greatest(1, total div (capacity * {GROUP}), pieces div {GROUP_ITEMS}))"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -160,6 +161,8 @@ def assigned(sizes: DataFrame, containers: DataFrame) -> DataFrame:
         pdf = pdf.assign(window=[f"g{g}-{n}" for g, n in zip(pdf["grp"], numbers)])
         return pdf[["container", "window", "doc_id", "part", "start", "tokens"]]
 
+    # packing takes long for its few bytes: as many tasks as cores want, not as bytes would
+    groups = groups.repartition(tasks(sizes.sparkSession), "container", "grp")
     packed = groups.groupBy("container", "grp").applyInPandas(run, "container string, window string, doc_id long, part long, start long, tokens long")
     return filled.unionByName(packed)
 
