@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.session import one_of_each, stored
+from cloakwork.session import one_of_each, stored, tasks
 
 #: Least Jaccard similarity of a candidate, and least similarity of an accepted match.
 CANDIDATE, ACCEPT = 0.3, 0.5
@@ -200,7 +200,9 @@ def best_entries(values: DataFrame, entries: DataFrame) -> DataFrame:
             close = [closeness([x.split() for x in t], y.split()) for t, y in zip(pdf["typed"], pdf["target"])]
             yield pdf[["value", "entry", "jaccard"]].assign(close=close)
 
-    judged = scored.select("value", "entry", "jaccard", "typed", "target").mapInPandas(run, "value string, entry long, jaccard double, close double")
+    # scoring takes long for its few bytes: as many tasks as cores want
+    scored = scored.select("value", "entry", "jaccard", "typed", "target").repartition(tasks(values.sparkSession), "value")
+    judged = scored.mapInPandas(run, "value string, entry long, jaccard double, close double")
     judged = judged.withColumn("score", F.col("close") * 0.7 + F.col("jaccard") * 0.3)
     best = judged.groupBy("value").agg(F.max(F.struct("score", "jaccard", (-F.col("entry")).alias("minus"))).alias("b"))
     best = best.filter(F.col("b.score") >= ACCEPT).select("value", (-F.col("b.minus")).alias("entry"), F.col("b.score").alias("score"))
