@@ -49,5 +49,6 @@ def kept(events: DataFrame, targets: DataFrame) -> DataFrame:
     """Ids of the events that the cutoffs of their sources keep."""
     goal = goals(targets)
     rows = stored(counted(events, goal))
-    cut = cutoffs(rows, goal).select("grp", "cutoff")
+    # written, so that its true size is known: rows don't move for a few cutoffs
+    cut = stored(cutoffs(rows, goal).select("grp", "cutoff"))
     return rows.join(cut, "grp").filter(F.col("v") >= F.col("cutoff")).select("id")

@@ -123,5 +123,6 @@ def above_percentile(rows: DataFrame, id_col: str, group_col: str, value_col: st
     """
     rows = one_of_each(rows.select(F.col(id_col).alias("id"), tidy(F.col(group_col)).alias("grp"), measured(F.col(value_col)).alias("v")), "id")
     rows = stored(rows.filter("grp is not null and v is not null"))
-    cut = exact_percentile(rows.select("grp", "v"), percent, k).withColumnRenamed("v", "cut")
+    # written, so that its true size is known: rows don't move for a few percentiles
+    cut = stored(exact_percentile(rows.select("grp", "v"), percent, k).withColumnRenamed("v", "cut"))
     return rows.join(cut, "grp").filter(F.col("v") > F.col("cut")).select("id")
