@@ -143,10 +143,26 @@ def sane_model_hit(span: Column, entity: Column) -> Column:
     )
 
 
-def english(context: Column, least: float = 0.12) -> Column:
-    """Whether a text reads as English, by its share of common function words. Texts under ten
-    characters, and texts without words, pass."""
-    common = "the of and to in is was for that on with by as at it from this be are have not or an a has were will which his her their our your".split()
+# The commonest short words of languages whose texts meet in one corpus.
+COMMON = {
+    "en": "the of and to in is was for that on with by as at it from this be are have not or an has were will which his her their our your",
+    "es": "el la los las un una de del y en es fue por para que se con no lo su como pero este esta sin sobre entre cuando hay",
+    "fr": "le la les un une de des du et au aux en est par pour que qui se sur avec ne pas ce cette son sa ses dans ou nous vous",
+    "de": "der die das den dem des ein eine einen und zu in im ist war wurde hat auf von mit nicht als an am bei nach noch aus sich es sie",
+    "it": "il lo la gli le un una di del della dei e al alla in nel per che si con non su ci come da dal dalla sono",
+    "pt": "o os as um uma de do da dos das e em no na para que se com não ao por mais foi como seu sua quando",
+    "nl": "de het een van en in is was te op voor met niet aan er dat die zijn wordt heeft door om bij als of maar naar",
+}
+
+
+def english(context: Column) -> Column:
+    """Whether a text reads as English: of the commonest words of each language, no other language has more
+    in it. Texts under ten characters, and texts without words, pass."""
     w = words(F.lower(context))
-    share = F.size(F.filter(w, lambda x: x.isin(*common))) / F.size(w)
-    return blank(context) | (F.length(context) < 10) | (F.size(w) == 0) | (share >= least)
+
+    def among(common: str) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*common.split())))
+
+    count = {k: among(v) for k, v in COMMON.items()}
+    others = F.greatest(*[n for k, n in count.items() if k != "en"])
+    return blank(context) | (F.length(context) < 10) | (F.size(w) == 0) | (count["en"] >= others)

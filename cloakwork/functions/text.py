@@ -52,7 +52,14 @@ def window(text: Column, start: Column, end: Column, around: int) -> Column:
     return F.substring(text, low + 1, end + around - low)
 
 
+#: Characters before a place among which the words before it are looked for.
+BEFORE = 256
+
+
 def words_before(text: Column, start: Column, count: int) -> Column:
-    """The last words before a place, in lower case, joined by blanks."""
-    before = words(F.substring(text, F.lit(1), start))
+    """The last words before a place, in lower case, joined by blanks; of the BEFORE characters before it,
+    cut at white space, so that a long text isn't split anew for every place in it."""
+    low = F.greatest(start - BEFORE, F.lit(0))
+    near = F.substring(text, low + 1, start - low)
+    before = words(F.when(low > 0, F.regexp_replace(near, r"(?U)^\S*\s", "")).otherwise(near))
     return F.lower(F.array_join(F.slice(before, F.greatest(F.size(before) - count, F.lit(0)) + 1, F.lit(count)), " "))

@@ -36,9 +36,9 @@ def suppressed(boxes: Column, threshold: float = 0.5) -> Column:
 
 
 def apart(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Of boxes without text, those that no surer kept box on the page covers. A page's boxes are one
-    group: pages bound it."""
-    order = F.struct((-F.col("confidence")).alias("_minus"), "ord", "x", "y", "w", "h", "entity_type", "confidence", "source", "text_found")
+    """Of boxes without text, those that no surer kept box on the page covers; a null confidence is 0. A
+    page's boxes are one group: pages bound it."""
+    order = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("_minus"), "ord", "x", "y", "w", "h", "entity_type", "confidence", "source", "text_found")
     pages = boxes.filter(F.coalesce("text_found", F.lit("")) == "").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(order)).alias("b"))
     return pages.select("doc_id", "page", F.inline(suppressed(F.col("b"), threshold))).select(*COLUMNS)
 
@@ -49,8 +49,9 @@ def deduplicated(boxes: DataFrame, threshold: float = 0.5, located: bool = False
 
 
 def _closure(rows: list[dict]) -> list[dict]:
-    """Boxes of a page merged until none touches another; of two, the surer gives its type and source."""
-    boxes = [{**r, "r": r["x"] + r["w"], "b": r["y"] + r["h"]} for r in sorted(rows, key=lambda r: r["ord"])]
+    """Boxes of a page merged until none touches another; of those merged, the surest gives its type,
+    source and confidence, of equally sure ones the first."""
+    boxes = [{**r, "r": r["x"] + r["w"], "b": r["y"] + r["h"], "sure": (r["confidence"] or 0, -r["ord"])} for r in sorted(rows, key=lambda r: r["ord"])]
     merged = True
     while merged:
         merged, out = False, []
@@ -60,7 +61,7 @@ def _closure(rows: list[dict]) -> list[dict]:
                 out.append(b)
                 continue
             o, merged = out[k], True
-            first = b if (b["confidence"] or 0) > (o["confidence"] or 0) else o
+            first = b if b["sure"] > o["sure"] else o
             edges = {"x": min(o["x"], b["x"]), "y": min(o["y"], b["y"]), "r": max(o["r"], b["r"]), "b": max(o["b"], b["b"])}
             out[k] = {**first, **edges, "text_found": "", "ord": min(o["ord"], b["ord"])}
         boxes = out

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakwork.functions.boxes import iou
 from cloakwork.functions.text import strip
 
 
@@ -19,40 +20,34 @@ def _scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(f, 3).alias("f1")]
 
 
-def matched(pred: DataFrame, gold: DataFrame, partial: bool = False, stripped: bool = False, keys: tuple[str, ...] = ("doc_id", "entity_type")) -> tuple[DataFrame, DataFrame]:
-    """pred and gold, each with a column `hit`: whether a span of the other matches within the keys.
+def compared(pred: DataFrame, gold: DataFrame, partial: bool = False, stripped: bool = False, keys: tuple[str, ...] = ("doc_id", "entity_type")) -> DataFrame:
+    """keys, span, pred, gold, hit: how often each text stands on either side, and whether a text of the
+    other side matches it within the keys. Each side is read once.
 
-    Exact matches join by value. Partial ones, where one text holds the other, are looked for among the
-    distinct texts of equal keys.
+    Exact matches are equal texts. Partial ones, where one text holds the other, are looked for among
+    the distinct texts of equal keys.
     """
     keys = list(keys)
 
-    def side(df: DataFrame) -> DataFrame:
+    def side(df: DataFrame, p: int) -> DataFrame:
         text = strip(F.col("span")) if stripped else F.col("span")
-        return df.select(*keys, text.alias("span")).filter("span is not null")
+        return df.select(*keys, text.alias("span"), F.lit(p).alias("p"), F.lit(1 - p).alias("g")).filter("span is not null")
 
-    p, g = side(pred), side(gold)
+    both = side(pred, 1).unionByName(side(gold, 0)).groupBy(*keys, "span").agg(F.sum("p").alias("pred"), F.sum("g").alias("gold"))
     if not partial:
-        common = p.select(*keys, "span").intersect(g.select(*keys, "span")).withColumn("hit", F.lit(True))
-        fill = F.coalesce("hit", F.lit(False)).alias("hit")
-        return p.join(common, [*keys, "span"], "left").select(*keys, "span", fill), g.join(common, [*keys, "span"], "left").select(*keys, "span", fill)
-    pairs = p.distinct().join(g.distinct().withColumnRenamed("span", "other"), keys).filter(F.contains("span", "other") | F.contains("other", "span"))
-    hit = F.lit(True).alias("hit")
-    fill = F.coalesce("hit", F.lit(False)).alias("hit")
-    ps, gs = pairs.select(*keys, "span", hit).distinct(), pairs.select(*keys, F.col("other").alias("span"), hit).distinct()
-    return p.join(ps, [*keys, "span"], "left").select(*keys, "span", fill), g.join(gs, [*keys, "span"], "left").select(*keys, "span", fill)
+        return both.withColumn("hit", (F.col("pred") > 0) & (F.col("gold") > 0))
+    texts = F.transform("all", lambda a: F.struct(*[a[c].alias(c) for c in ("span", "pred", "gold")], F.exists("all", lambda o: (((a["pred"] > 0) & (o["gold"] > 0)) | ((a["gold"] > 0) & (o["pred"] > 0))) & (F.contains(a["span"], o["span"]) | F.contains(o["span"], a["span"]))).alias("hit")))
+    return both.groupBy(*keys).agg(F.collect_list(F.struct("span", "pred", "gold")).alias("all")).select(*keys, F.inline(texts))
 
 
 def f1(pred: DataFrame, gold: DataFrame, *by: str, **how) -> DataFrame:
     """tp, fp, fn, precision, recall, f1, over all or by columns. True positives are counted on the side of
-    the predictions, for recall too; a type on one side only has a row."""
-    p, g = matched(pred, gold, **how)
+    the predictions, for recall too; a type on one side only has a row. A document's texts of a type are
+    one group."""
+    rows = compared(pred, gold, **how)
     zero = F.lit(0).cast("long")
-    a = p.groupBy(*by).agg(F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fp"))
-    b = g.groupBy(*by).agg(F.count_if(~F.col("hit")).alias("fn"))
-    both = a.join(b, list(by), "full") if by else a.join(b)  # without groups, one row each
-    both = both.select(*by, *[F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "fn")])
-    return both.select(*by, "tp", "fp", "fn", *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
+    sums = [F.coalesce(F.sum(F.when(c, F.col(n)).otherwise(0)), zero).alias(a) for a, c, n in (("tp", F.col("hit"), "pred"), ("fp", ~F.col("hit"), "pred"), ("fn", ~F.col("hit"), "gold"))]
+    return rows.groupBy(*by).agg(*sums).select(*by, "tp", "fp", "fn", *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def triples(pred: DataFrame, gold: DataFrame) -> DataFrame:
@@ -72,35 +67,41 @@ def micro(by_type: DataFrame) -> DataFrame:
     return sums.select("tp", "fp", "fn", *_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def _assign(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gold = pdf[pdf["side"] == "gold"].sort_values("ord").to_dict("records")
-        pred = pdf[pdf["side"] == "pred"].sort_values("ord").to_dict("records")
-        free, tp = [True] * len(gold), 0
-        for b in pred:
-            best, at = threshold, -1
-            for k, o in enumerate(gold):
-                if free[k]:
-                    w = min(b["x"] + b["w"], o["x"] + o["w"]) - max(b["x"], o["x"])
-                    h = min(b["y"] + b["h"], o["y"] + o["h"]) - max(b["y"], o["y"])
-                    inter = max(w, 0) * max(h, 0)
-                    union = b["w"] * b["h"] + o["w"] * o["h"] - inter
-                    over = inter / union if union > 0 else 0.0
-                    if over >= best and (at < 0 or over > best):
-                        best, at = over, k
-            if at >= 0:
-                free[at], tp = False, tp + 1
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "tp": [tp], "fp": [len(pred) - tp], "fn": [len(gold) - tp]})
-
-    return run
-
-
 def box_matches(pred: DataFrame, gold: DataFrame, threshold: float = 0.5) -> DataFrame:
     """image_id, tp, fp, fn: each prediction, in order, takes the free gold box that it covers best, from
-    the threshold on. pred, gold: image_id, ord, x, y, w, h. An image is one group."""
-    columns = ["image_id", "ord", "x", "y", "w", "h"]
-    both = pred.select(*columns, F.lit("pred").alias("side")).unionByName(gold.select(*columns, F.lit("gold").alias("side")))
-    return both.groupBy("image_id").applyInPandas(_assign(threshold), "image_id string, tp long, fp long, fn long")
+    the threshold on; of equally good ones the first. pred, gold: image_id, ord, x, y, w, h. The boxes of
+    an image are an array."""
+    box = F.struct("ord", "x", "y", "w", "h")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("image_id", box.alias("b")).groupBy("image_id").agg(F.array_sort(F.collect_list("b")).alias(name))
+
+    both = side(pred, "p").join(side(gold, "g"), "image_id", "full")
+    none = F.expr("cast(array() as array<struct<ord:bigint,x:int,y:int,w:int,h:int>>)")
+
+    def kind(c: str) -> Column:
+        return F.coalesce(F.col(c), none).cast("array<struct<ord:bigint,x:int,y:int,w:int,h:int>>")
+
+    def take(free: Column, b: Column) -> Column:
+        cover = F.transform(free, lambda g: iou(b, g))
+        best = F.array_max(cover)
+        at = F.array_position(cover, best).cast("int")
+        rest = F.concat(F.slice(free, F.lit(1), at - 1), F.slice(free, at + 1, F.size(free)))
+        return F.when(F.coalesce(best >= threshold, F.lit(False)), rest).otherwise(free)
+
+    rows = both.select("image_id", kind("p").alias("p"), kind("g").alias("g"))
+    rows = rows.withColumn("left", F.size(F.aggregate("p", F.col("g"), take)))
+    tp = (F.size("g") - F.col("left")).cast("long")
+    return rows.select("image_id", tp.alias("tp"), (F.size("p") - tp).cast("long").alias("fp"), F.col("left").cast("long").alias("fn"))
+
+
+def ocr_summary(pages: DataFrame) -> DataFrame:
+    """docs, errors, mean_rate, mean_lines of a recognizer's run: pages(doc_id, rate, lines, error). Rates
+    are averaged over documents without an error, and are 0 where all failed."""
+    good = F.count_if(~F.col("error"))
+    return pages.agg(
+        F.count("*").alias("docs"), F.count_if("error").alias("errors"), (F.coalesce(F.sum(F.when(~F.col("error"), F.col("rate"))), F.lit(0.0)) / F.greatest(good, F.lit(1))).alias("mean_rate"), F.coalesce(F.avg("lines"), F.lit(0.0)).alias("mean_lines")
+    )
 
 
 def error_rate(ref: Column, hyp: Column) -> Column:
@@ -156,5 +157,6 @@ def first_documents(rows: DataFrame, n: int, text_col: str = "text", order: str
 
 
 def ranked(results: DataFrame) -> DataFrame:
-    """Results by falling f1, then by type."""
+    """Results by falling f1, then by type, with their place. A result has a row per type, so one task
+    ranks them."""
     return results.withColumn("place", F.row_number().over(Window.orderBy(F.desc("f1"), "entity_type")))

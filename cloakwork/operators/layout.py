@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,32 +31,37 @@ def is_label(text: Column) -> Column:
     return s.endswith(":") | short
 
 
-def _page(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["y", "x", "ord"]).reset_index(drop=True)
-    labels, kinds = pdf["field_label"].fillna("").tolist(), pdf["block_type"].tolist()
-    xs, ys, texts, can = pdf["x"].tolist(), pdf["y"].tolist(), pdf["text"].tolist(), pdf["can"].tolist()
-    for i in range(len(pdf)):
-        if labels[i] or not can[i]:
-            continue
-        name = texts[i].strip().rstrip(":").strip()
-        low = high = i
-        while low > 0 and ys[low - 1] >= ys[i] - ROW:
-            low -= 1
-        while high + 1 < len(pdf) and ys[high + 1] <= ys[i] + ROW:
-            high += 1
-        for j in range(low, high + 1):
-            if j != i and not labels[j] and xs[j] > xs[i]:
-                labels[j] = name
-        kinds[i] = "form_field_label"
-    return pdf.drop(columns="can").assign(field_label=labels, block_type=kinds)
-
-
 def associated(spans: DataFrame) -> DataFrame:
     """Spans with the label of their row: on a page, in reading order, each unlabelled span that reads as
     a label names the unlabelled spans to its right on its row; the first label wins, and a span that
-    has a label is none. A page is one group."""
-    ready = spans.withColumn("can", is_label(F.col("text"))).withColumn("text", F.coalesce("text", F.lit("")))
-    return ready.groupBy("doc_id", "page").applyInPandas(_page, spans.schema)
+    has a label is none. A page is one group, and its spans are an array."""
+    keys = ("doc_id", "page")
+    others = [c for c in spans.columns if c not in keys]
+    text = F.coalesce("text", F.lit(""))
+    whole = F.struct(*[(text if c == "text" else F.coalesce("field_label", F.lit("")) if c == "field_label" else F.col(c)).alias(c) for c in others])
+    name = strip(F.regexp_replace(strip(text), r":+$", ""))
+    one = F.struct("y", "x", "ord", is_label(F.col("text")).alias("can"), name.alias("name"), whole.alias("all"))
+    pages = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("s"))
+
+    def names(k: Column, s: Column) -> Column:
+        return (k["x"] < s["x"]) & (F.abs(k["y"] - s["y"]) <= ROW) & (k["name"] != "")
+
+    free = lambda s: s["all"]["field_label"] == ""
+    labels = F.aggregate(
+        "s",
+        F.slice("s", 1, 0),
+        lambda acc, s: F.when(s["can"] & free(s) & ~F.exists(acc, lambda k: names(k, s)), F.concat(acc, F.array(s))).otherwise(acc),
+    )
+    pages = pages.withColumn("l", labels)
+
+    def done(s: Column) -> Column:
+        own = F.get(F.filter("l", lambda k: names(k, s)), F.lit(0))["name"]
+        isone = F.exists("l", lambda k: (k["y"] == s["y"]) & (k["x"] == s["x"]) & k["ord"].eqNullSafe(s["ord"]) & (k["name"] == s["name"]))
+        label = F.when(free(s), F.coalesce(own, F.lit(""))).otherwise(s["all"]["field_label"])
+        kind = F.when(isone & free(s), F.lit("form_field_label")).otherwise(s["all"]["block_type"])
+        return F.struct(*[(label if c == "field_label" else kind if c == "block_type" else s["all"][c]).alias(c) for c in others])
+
+    return pages.select(*keys, F.inline(F.transform("s", done))).select(*spans.columns)
 
 
 _PAIR = r"^([A-Z][A-Za-z '’]+?):\s*(.+)$"

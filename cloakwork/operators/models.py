@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloakwork.functions.boxes import padded
 from cloakwork.functions.filters import PROMPTS, lookup, sane_model_hit
 from cloakwork.functions.text import strip
 
@@ -87,6 +88,28 @@ def codes(raw: DataFrame) -> DataFrame:
     return raw.withColumn("entity_type", F.when(F.upper("kind").contains("QR"), "QR_CODE").otherwise("BARCODE")).withColumn("confidence", F.lit(1.0)).drop("kind")
 
 
+def faces(raw: DataFrame, pad: int = 4, default: float = 0.80) -> DataFrame:
+    """Hits of a face model, raw(..., x, y, w, h, score, width, height), grown by pad within the picture; a
+    model without scores gives the default."""
+    grown = dict(zip("xywh", padded(pad, F.col("width"), F.col("height"))))
+    rest = [c for c in raw.columns if c not in ("x", "y", "w", "h", "score", "width", "height")]
+    return raw.select(*rest, *grown.values(), F.lit("FACE").alias("entity_type"), F.coalesce("score", F.lit(default)).alias("confidence"))
+
+
+def handwriting(raw: DataFrame, least_area: int = 500) -> DataFrame:
+    """Regions of ink, raw(..., w, h, area), large enough to be handwriting; none has a score of its own."""
+    large = raw.filter(F.col("area") >= least_area).drop("area")
+    return large.withColumn("entity_type", F.lit("HANDWRITING")).withColumn("confidence", F.lit(0.75))
+
+
+def joined_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text: the lines of lines(doc_id, ord, text) that aren't blank, joined by blanks in order; the
+    empty text for docs(doc_id) without any."""
+    own = lines.filter(F.col("text").rlike(r"\S")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: x["text"]), " ")
+    return docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+
+
 def plates(raw: DataFrame, least: float = 0.60) -> DataFrame:
     """Hits of a vehicle model: plates from the least confidence, other classes from 0.7, all as plates."""
     plate = F.lower("kind").contains("plate")

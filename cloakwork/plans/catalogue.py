@@ -235,7 +235,16 @@ def label_value_split(spark: SparkSession, d: str) -> DataFrame:
     return layout.split_pairs(spans).select("doc_id", "part", "field_label", "text")
 
 
-@query()
+_NAMED = "k.x < r.x AND abs(k.y - r.y) <= 6 AND k.name <> ''"
+
+
+@query(
+    f"""WITH {_SPANS}, s0 AS (SELECT *, {_S.replace('text_found', 'text')} AS s FROM spans), s1 AS (SELECT * EXCLUDE (w), {_W} AS w FROM s0),
+s2 AS (SELECT *, ends_with(s, ':') OR (length(s) <= 40 AND len(w) <= 5 AND regexp_matches(s, '^\\p{{Lu}}')) AS can, regexp_replace(regexp_replace(s, ':+$', ''), '[\\s\\p{{Z}}]+$', '') AS name FROM s1),
+l AS (SELECT list({{'y': y, 'x': x, 'ord': ord, 'can': can, 'name': name, 'span_id': span_id, 'block_type': block_type}} ORDER BY y, x, ord) AS l FROM s2 GROUP BY doc_id, page),
+m AS (SELECT unnest(l) AS r, list_reduce(list_transform(l, lambda r: [r]), lambda acc, e: CASE WHEN e[1].can AND len(list_filter(acc, lambda k: {_NAMED.replace('r.', 'e[1].')})) = 0 THEN list_concat(acc, e) ELSE acc END, l[1:0]) AS labels FROM l)
+SELECT r.span_id AS span_id, coalesce(list_filter(labels, lambda k: {_NAMED})[1].name, '') AS field_label, CASE WHEN list_contains(list_transform(labels, lambda k: k.span_id), r.span_id) THEN 'form_field_label' ELSE r.block_type END AS block_type FROM m"""
+)
 def label_value_rows(spark: SparkSession, d: str) -> DataFrame:
     spans = one_of_each(table(spark, d, "layout_spans"), "span_id").withColumn("field_label", F.lit(""))
     return layout.associated(spans).select("span_id", "field_label", "block_type")
@@ -279,17 +288,44 @@ def dedup_text_spans(spark: SparkSession, d: str) -> DataFrame:
     return dedup.best_per_text(_boxes(spark, d)).select("doc_id", "page", "text_found", "box_id")
 
 
-@query()
+def _iou_sql(a: str, b: str) -> str:
+    both = f"(greatest(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y), 0))"
+    return f"CASE WHEN {both} > 0 THEN CAST({both} AS DOUBLE) / ({a}.w * {a}.h + {b}.w * {b}.h - {both}) ELSE 0.0 END"
+
+
+_BOX_COLUMNS = "ord, x, y, w, h, entity_type, confidence, source, text_found"
+_PLAIN = f"{_BOXES}, plain AS (SELECT * EXCLUDE (ord), box_id AS ord FROM boxes)"
+_APART = f"""a AS (SELECT doc_id, page, list({{{', '.join(f"'{c}': {c}" for c in _BOX_COLUMNS.split(', '))}}} ORDER BY -coalesce(confidence, 0), ord) AS b FROM plain WHERE coalesce(text_found, '') = '' GROUP BY ALL),
+k AS (SELECT doc_id, page, unnest(list_reduce(list_transform(b, lambda r: [r]), lambda acc, r: CASE WHEN len(list_filter(acc, lambda o: {_iou_sql('o', 'r[1]')} > 0.5)) > 0 THEN acc ELSE list_concat(acc, r) END)) AS k FROM a),
+apart AS (SELECT doc_id, page, {', '.join(f'k.{c} AS {c}' for c in _BOX_COLUMNS.split(', '))} FROM k)"""
+
+
+@query(f"WITH {_PLAIN}, {_APART} SELECT doc_id, page, {_BOX_COLUMNS} FROM apart")
 def dedup_iou_nms(spark: SparkSession, d: str) -> DataFrame:
     return dedup.apart(_boxes(spark, d))
 
 
-@query()
+@query(
+    f"WITH {_PLAIN}, {_APART} SELECT doc_id, page, {_BOX_COLUMNS} FROM apart UNION ALL SELECT doc_id, page, {_BOX_COLUMNS} FROM (SELECT * FROM plain WHERE coalesce(text_found, '') <> '' QUALIFY row_number() OVER "
+    f"(PARTITION BY doc_id, page, text_found ORDER BY {case('entity_type', {k: str(v) for k, v in B.SPECIFICITY.items()}, quoted(['0']))}::INT DESC, confidence DESC NULLS LAST, box_id) = 1)"
+)
 def dedup_boxes(spark: SparkSession, d: str) -> DataFrame:
     return dedup.deduplicated(_boxes(spark, d))
 
 
-@query()
+_TOUCH = "list_filter(l, lambda k: k.x <= a.r AND a.x <= k.r AND k.y <= a.b AND a.y <= k.b)"
+_EDGE = {"x": "min", "y": "min", "r": "max", "b": "max"}
+
+
+@query(
+    f"""WITH RECURSIVE {_PLAIN}, g AS (SELECT *, greatest(x - 4, 0) AS gx, greatest(y - 4, 0) AS gy, w + 8 AS gw, h + 8 AS gh FROM plain),
+c AS (SELECT doc_id, page, list_sort(list_distinct(list({{'x': gx, 'y': gy, 'r': gx + gw, 'b': gy + gh}}))) AS l, 0 AS n FROM g GROUP BY doc_id, page
+ UNION ALL SELECT doc_id, page, m, n + 1 FROM (SELECT doc_id, page, l, n, list_sort(list_distinct(list_transform(l, lambda a: {{{', '.join(f"'{c}': list_{f}(list_transform({_TOUCH}, lambda k: k.{c}))" for c, f in _EDGE.items())}}}))) AS m FROM c) WHERE m <> l),
+j AS (SELECT z.doc_id, z.page, z, g.* EXCLUDE (doc_id, page) FROM (SELECT DISTINCT * FROM (SELECT doc_id, page, unnest(l) AS z FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC) = 1))) z
+ JOIN g ON g.doc_id = z.doc_id AND g.page = z.page AND gx >= z.x AND gy >= z.y AND gx + gw <= z.r AND gy + gh <= z.b)
+SELECT doc_id, page, min(ord) AS ord, z.x AS x, z.y AS y, z.r - z.x AS w, z.b - z.y AS h, first(entity_type ORDER BY coalesce(confidence, 0) DESC, ord) AS entity_type, first(confidence ORDER BY coalesce(confidence, 0) DESC, ord) AS confidence,
+ first(source ORDER BY coalesce(confidence, 0) DESC, ord) AS source, CASE WHEN count(*) > 1 THEN '' ELSE first(coalesce(text_found, '')) END AS text_found FROM j GROUP BY doc_id, page, z"""
+)
 def merge_boxes(spark: SparkSession, d: str) -> DataFrame:
     return dedup.merged(_boxes(spark, d))
 
@@ -298,11 +334,12 @@ def merge_boxes(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_BOXES} SELECT first, second, round(CASE WHEN i > 0 THEN i / (area - i) ELSE 0.0 END, 6) AS iou FROM (
 SELECT a.box_id AS first, b.box_id AS second, a.w * a.h + b.w * b.h AS area,
        CAST(greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS DOUBLE) AS i
-FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.box_id < b.box_id WHERE coalesce(a.text_found, '') = '' AND coalesce(b.text_found, '') = '')"""
+FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.box_id < b.box_id WHERE coalesce(a.text_found, '') = '' AND coalesce(b.text_found, '') = '') WHERE i > 0 AND i / (area - i) > 0.5"""
 )
 def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d).filter(F.coalesce("text_found", F.lit("")) == "").select("doc_id", "page", F.struct("box_id", "x", "y", "w", "h").alias("b"))
     pairs = b.withColumnRenamed("b", "a").join(b, ["doc_id", "page"]).filter("a.box_id < b.box_id")
+    pairs = pairs.filter(B.iou(F.col("a"), F.col("b")) > 0.5)
     return pairs.select(F.col("a.box_id").alias("first"), F.col("b.box_id").alias("second"), F.round(B.iou(F.col("a"), F.col("b")), 6).alias("iou"))
 
 
@@ -508,7 +545,16 @@ def eval_partial_f1(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.f1(*_judged(spark, d), "entity_type", partial=True)
 
 
-@query()
+_COVER = f"list_transform(free, lambda q: {_iou_sql('e[1]', 'q')})"
+_AT = f"list_position({_COVER}, list_max({_COVER}))"
+_SIDE = "SELECT doc_id || '-' || page AS image_id, list({{'ord': box_id, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY box_id) AS {0} FROM boxes WHERE source {1} ('deface', 'yolov8', 'vlm') GROUP BY 1"
+
+
+@query(
+    f"""WITH {_BOXES}, b AS (SELECT image_id, coalesce(p, g[1:0]) AS p, coalesce(g, p[1:0]) AS g FROM ({_SIDE.format('p', 'IN')}) FULL JOIN ({_SIDE.format('g', 'NOT IN')}) USING (image_id)),
+f AS (SELECT image_id, len(p) AS np, len(g) AS ng, len(list_reduce(list_transform(p, lambda r: [r]), lambda free, e: CASE WHEN coalesce(list_max({_COVER}), 0) >= 0.5 THEN list_concat(free[1:{_AT} - 1], free[{_AT} + 1:]) ELSE free END, g)) AS rest FROM b)
+SELECT image_id, CAST(ng - rest AS BIGINT) AS tp, CAST(np - (ng - rest) AS BIGINT) AS fp, CAST(rest AS BIGINT) AS fn FROM f"""
+)
 def eval_box_matches(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d).withColumn("image_id", F.concat_ws("-", "doc_id", "page"))
     return evaluate.box_matches(b.filter("source in ('deface', 'yolov8', 'vlm')"), b.filter("source not in ('deface', 'yolov8', 'vlm')"))
@@ -524,7 +570,14 @@ def cer_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", evaluate.block_error_rate(F.col("p_name"), F.col("p_type")).alias("rate"))
 
 
-@query()
+def _share_sql(lang: str) -> str:
+    return f"len(list_filter(w, lambda x: x IN ({quoted(N.COMMON[lang].split())})))"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id), s AS (SELECT *, lower({_S.replace('text_found', 'text')}) AS s FROM d), t AS (SELECT *, {_W} AS w FROM s)
+SELECT doc_id, s = '' OR length(text) < 10 OR len(w) = 0 OR {_share_sql('en')} >= greatest({', '.join(_share_sql(k) for k in N.COMMON if k != 'en')}) AS english FROM t"""
+)
 def english_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = one_of_each(table(spark, d, "documents"), "doc_id")
     return docs.select("doc_id", N.english(F.col("text")).alias("english"))

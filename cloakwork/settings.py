@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 from dataclasses import dataclass
 from typing import Any
 
@@ -32,6 +33,20 @@ def merged(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def read(path: str, overrides: dict[str, Any] | None = None) -> Settings:
+    """Settings from a JSON file, or from a YAML file where a YAML library is installed."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            nested = json.load(f)
+        else:
+            try:
+                import yaml
+            except ImportError as missing:
+                raise ValueError(f"{path}: no YAML library is installed, use JSON") from missing
+            nested = yaml.safe_load(f)
+    return load(nested or {}, overrides)
+
+
 def load(nested: dict[str, Any] | None = None, overrides: dict[str, Any] | None = None) -> Settings:
     """Settings from sections of a parsed file; unknown keys are ignored."""
     flat: dict[str, Any] = {}
