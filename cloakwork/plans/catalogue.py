@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cloakwork.functions import boxes as B
 from cloakwork.functions import filters as N
 from cloakwork.functions.checks import aba, luhn
-from cloakwork.functions.patterns import BASELINE, GENERAL, PATTERNS, Pattern, Registry
+from cloakwork.functions.patterns import BASELINE, CONTEXT, GENERAL, PATTERNS, Pattern, Registry
 from cloakwork.functions.text import matches
 from cloakwork.operators import audit, dedup, detect, evaluate, layout, models, route, tabular, templates, vault, words
 from cloakwork.plans.claims import claims
@@ -62,6 +62,10 @@ _LUHN_SQL = (
     "length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 "
     "THEN CAST(substr('0246813579', 1 + CAST(substr(d, i, 1) AS INT), 1) AS INT) ELSE CAST(substr(d, i, 1) AS INT) END)) % 10 = 0"
 )
+_IBAN_SQL = (
+    "length(d) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(substr(upper(d), 5) || substr(upper(d), 1, 4), ''), "
+    "lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), ''), ''), lambda c: CAST(c AS INT)), lambda a, c: (a * 10 + c) % 97) = 1"
+)
 _ABA_SQL = "(" + " + ".join(f"{(3, 7, 1)[k % 3]} * CAST(substr(s, {k + 1}, 1) AS INT)" for k in range(9)) + ") % 10 = 0"
 
 
@@ -70,6 +74,8 @@ def _extract_sql(p: Pattern, source: str = "claims") -> str:
     group = 1 if p.name.startswith("phone_") else 0
     if p.check == "luhn":
         keep = f"{keep} AND {_LUHN_SQL}"
+    if p.check == "iban":
+        keep = f"{keep} AND {_IBAN_SQL}"
     if p.check == "aba":
         keep = f"{keep} AND {_ABA_SQL}"
     score = 1.0 if p.check == "aba" else p.score
@@ -103,13 +109,15 @@ def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DOCS = "docs AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)"
-_FLAGSHIP = (GENERAL[0], GENERAL[1], next(p for p in PATTERNS if p.name == "cc_16_spaced"), next(p for p in PATTERNS if p.name == "claim_clm_prefix"), next(p for p in PATTERNS if p.name == "policy_pol_prefix"))
+_ALL = Registry().patterns
 
 
-@query(f"WITH {_DOCS} SELECT entity_type, count(*) AS n FROM (" + " UNION ALL ".join(_extract_sql(p, "docs") for p in _FLAGSHIP) + ") GROUP BY ALL")
+@query(f"WITH {_DOCS} SELECT entity_type, count(*) AS n FROM (" + " UNION ALL ".join(_extract_sql(p, "docs") for p in _ALL) + ") GROUP BY ALL")
 def entity_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = one_of_each(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return detect.detect(docs, registry=Registry(_FLAGSHIP)).groupBy("entity_type").agg(F.count("*").alias("n"))
+    """Findings of the default registry in all documents, by type. Repeats of a document are told apart by
+    its findings, so texts don't move."""
+    found = detect.detect(table(spark, d, "documents").select("doc_id", "text")).dropDuplicates(["doc_id", "pattern", "start"])
+    return found.filter("doc_id is not null").groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT lang, count(*) AS docs, count(text) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest FROM documents GROUP BY lang")
@@ -133,15 +141,31 @@ def span_offsets(spark: SparkSession, d: str) -> DataFrame:
     return spans.select("span_id", F.inline(matches(F.col("text"), _CODE)))
 
 
+#: Patterns that RE2 runs as they are, so that SQL can tell the places of their matches.
+_PLACED = tuple(p for p in PATTERNS if p.name not in _WIDE)
+
+
+def _placed_sql(p: Pattern) -> str:
+    regex = p.regex.replace("'", "''")
+    start = "CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: length(m))), 0) AS INT)"
+    keep = {"luhn": _LUHN_SQL, "aba": _ABA_SQL}.get(p.check, "true")
+    return (
+        f"SELECT doc_id, text, '{p.entity}' AS entity_type, '{p.name}' AS pattern, s, start, CAST({detect.score_of(p)} AS DOUBLE) AS score FROM (SELECT doc_id, text, ms[i] AS s, replace(replace(ms[i], ' ', ''), '-', '') AS d, {start} AS start "
+        f"FROM (SELECT doc_id, text, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{regex}') AS ms, regexp_split_to_array(text, '{regex}') AS gs FROM claims))) WHERE {keep}"
+    )
+
+
+_CLOSE = "lower(array_to_string(list_filter(regexp_split_to_array(CASE WHEN start > 256 THEN regexp_replace(substr(text, start - 255, 256), '^\\S*\\s', '') ELSE substr(text, 1, start) END, '\\s+'), lambda w: w <> '')[-5:], ' '))"
+_SURER = "CASE entity_type " + " ".join(f"WHEN '{e}' THEN {' OR '.join(f'contains(b, {quoted([w])})' for w in CONTEXT[e])}" for e in dict.fromkeys(p.entity for p in _PLACED)) + " ELSE false END"
+
+
 @query(
-    _WITH + r""", h AS (SELECT doc_id, text, s, strpos(text, 'CVV: ' || s) + 4 AS start FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, 'CVV: (\d{3})', 1)) AS s FROM claims))
-SELECT doc_id, s AS span, CASE WHEN regexp_matches(lower(substr(text, 1, start)), '(cvv|cvc|cid|security code|card verification|card security)[^ ]*\s*([^\s]+\s+){0,4}$') THEN 0.75 ELSE 0.40 END AS score FROM h"""
+    f"{_WITH}, h AS ({' UNION ALL '.join(_placed_sql(p) for p in _PLACED)}), n AS (SELECT *, {_CLOSE} AS b FROM h) "
+    f"SELECT doc_id, entity_type, pattern, start, round(CASE WHEN {_SURER} THEN least(1.0, score + 0.35) ELSE score END, 2) AS score FROM n"
 )
 def context_rescore(spark: SparkSession, d: str) -> DataFrame:
-    registry = Registry(tuple(p for p in PATTERNS if p.name == "cvv_3_4_digit"))
-    found = detect.detect(claims(spark, d), registry=registry, keep=("doc_id", "text"))
-    found = found.filter(F.substring(F.col("text"), F.col("start") - 4, F.lit(5)) == "CVV: ")
-    return detect.rescored(found, F.col("text")).select("doc_id", "span", F.round("score", 2).alias("score"))
+    found = detect.detect(claims(spark, d), registry=Registry(_PLACED), keep=("doc_id", "text"))
+    return detect.rescored(found, F.col("text")).select("doc_id", "entity_type", "pattern", "start", F.round("score", 2).alias("score"))
 
 
 @query(_WITH + rf" SELECT doc_id, s AS span, ({_LUHN_SQL}) AS valid FROM (SELECT doc_id, s, s AS d FROM (SELECT doc_id, regexp_extract(text, 'Card: (\d+)', 1) AS s FROM claims))")
