@@ -7,7 +7,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,16 +27,21 @@ FUNCTION_WORDS = {
 }
 _FW = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
-FEATURES = ("links", "tags", "keywords", "repeats", "sameness", "figures")
-#: How far each feature's natural scale may fall: a feature that is constant in clean text still needs a unit.
-FLOOR = (0.03, 0.03, 0.06, 0.06, 0.05, 0.08)
-#: Directions of spam in the space of features: link lists, tag lists, keyword stuffing.
-SPAMWARD = ((1, 0, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0), (0, 0, 1, 1, 1, 0))
-#: Distances that count in these directions. A link or tag share of some 0.4 is about 13 deviations.
-CUTOFFS = (13.0, 13.0, 8.15)
-#: Deviations of single features that a direction needs: function words must be missing, so that a text
-#: that only repeats itself is none, and figures must not abound, so that tables and inventories aren't.
-NEEDS = ({}, {}, {"keywords": (2.0, math.inf), "figures": (-math.inf, 2.5)})
+FEATURES = ("marks", "keywords", "repeats", "sameness", "figures")
+#: Characters that are added to the marked and to the other characters before their odds are taken: about
+#: one link's. A text counts as LEAST other characters at least, as one with hardly any tells nothing.
+ADDED, LEAST = 40.0, 60.0
+#: What is added to each feature's spread, as a spread that regularises: a feature that is constant in a
+#: language's clean text still needs a unit. The spread of marks comes from the texts alone.
+FLOOR = (0.01, 0.06, 0.06, 0.05, 0.08)
+#: Chance of a clean text to be as far out as a marked page, if features were normal; and the square root
+#: of that chi-square quantile with one degree of freedom.
+CHANCE, FAR = 0.0005, 3.481
+#: Features that keyword stuffing raises, the distance from which it counts, and deviations of single
+#: features that it needs: function words must be missing, so that a text that only repeats itself is
+#: none, and figures must not abound, so that tables and inventories aren't.
+STUFFING, STUFFED = (1, 2, 3), 8.15
+NEEDS = {"keywords": (2.0, math.inf), "figures": (-math.inf, 2.5)}
 #: Words of a window in which repetition is measured.
 WINDOW = 60
 
@@ -48,10 +52,10 @@ _token = re.compile(r"#?\d*[^\W\d_]+(?:['’][^\W\d_]+)?|#\d+|\d[\d.,:/-]*")
 
 
 def features(text: str) -> tuple[float, ...]:
-    """links, tags: share of the text's non-blank characters in links or in hash tags. keywords: share
-    of the words outside links that stand in runs without function words. repeats: share of word pairs
-    in runs that came before within a window. sameness: how far word entropy is below that of as many
-    different words. figures: share of numbers. All lie in 0..1."""
+    """marks: log odds of a non-blank character to lie in a link or a hash tag, shrunk by ADDED. keywords:
+    share of the words outside links that stand in runs without function words. repeats: share of word
+    pairs in runs that came before within a window. sameness: how far word entropy is below that of as
+    many different words. figures: share of numbers. All but the first lie in 0..1."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     solid = max(1, sum(map(len, text.split())))
@@ -72,11 +76,13 @@ def features(text: str) -> tuple[float, ...]:
         rest = _link.sub(link, rest)
     if "#" in rest:
         rest = _tag.sub(tag, rest)
+    marked = linked + tagged
+    marks = math.log((marked + ADDED) / (max(solid - marked, LEAST) + ADDED))
     tokens = _token.findall(low if rest is text else rest.lower())
     words = [t for t in tokens if t[0] > "9" or t[0] == "#"]
     figures = 1 - len(words) / len(tokens) if tokens else 0.0
     if not words:
-        return (linked / solid, tagged / solid, 0.0, 0.0, 0.0, figures)
+        return (marks, 0.0, 0.0, 0.0, figures)
     tally = Counter(words)
     best = max(_FW.values(), key=lambda fw: sum(n for w, n in tally.items() if w in fw))
     dense = run = repeated = 0
@@ -97,9 +103,9 @@ def features(text: str) -> tuple[float, ...]:
     usual = math.log(len(words)) if len(words) > 1 else 1.0
     sameness = max(0.0, 1 - entropy / min(usual, math.log(150))) if len(words) > 1 else 0.0
     # the parts outside links and tags count by their share of the text
-    share = max(0.0, 1 - (linked + tagged) / solid)
+    share = max(0.0, 1 - marked / solid)
     few = min(1.0, len(words) / 12)
-    return (linked / solid, tagged / solid, share * few * dense / len(words), share * few * repeated / max(1, len(words) - 1), share * few * sameness, figures)
+    return (marks, share * few * dense / len(words), share * few * repeated / max(1, len(words) - 1), share * few * sameness, figures)
 
 
 def language(lang: Column) -> Column:
@@ -171,7 +177,7 @@ def fitted(rows: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.nd
     spread = {r["lang"]: r["m"] for r in deviation.groupBy("lang").agg(F.array(*[F.percentile_approx(f, 0.5, 1000) for f in FEATURES]).alias("m")).collect()}
     floor = np.array(FLOOR)
     model = {k: (np.array(m), np.diag(1 / np.maximum(1.4826 * np.array(spread[k]), floor) ** 2)) for k, m in medians.items()}
-    bound = 20.0  # about the 0.997 point of chi-square with six degrees of freedom
+    bound = 18.0  # about the 0.997 point of chi-square with five degrees of freedom
     for _ in range(steps):
         moments = _moments(rows.filter(_distance(rows, model) <= bound))
         if not moments:
@@ -187,71 +193,40 @@ def fitted(rows: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.nd
     return model
 
 
-def in_cone(z: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """For each row of z, the non-negative weights of the columns whose sum comes nearest to it."""
-    weights, longest = np.zeros((len(z), columns.shape[1])), np.zeros(len(z))
-    for size in range(1, columns.shape[1] + 1):
-        for face in map(list, combinations(range(columns.shape[1]), size)):
-            x = z @ np.linalg.pinv(columns[:, face]).T
-            length = np.linalg.norm(x @ columns[:, face].T, axis=1)
-            better = np.flatnonzero((x >= 0).all(axis=1) & (length > longest))
-            longest[better] = length[better]
-            weights[better] = 0
-            weights[np.ix_(better, face)] = x[better]
-    return weights
-
-
 def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosine: float = 0.97) -> DataFrame:
-    """doc_id, distance, direction of the outliers that lie in a direction of spam or between several.
-
-    distance: robust Mahalanobis distance. direction: index of the SPAMWARD direction with the largest
-    cosine to the row's offset, in the space where the language's features are uncorrelated and of
-    unit spread; it must reach `cosine`, the offset must lead towards more of the features and have
-    what the direction NEEDS, and the distance must reach the direction's cutoff. Pages that mix kinds
-    of spam lie in the cone of the directions whose NEEDS they have: the cosine to it must reach
-    `cosine`, and the parts along the directions, each measured by its cutoff, must add up to 1;
-    direction is then that of the largest part.
+    """doc_id, marked, stuffed, direction (0 marks, 1 stuffing) of the outliers in directions of spam.
+
+    marked: robust distance in the direction of links and tags, in units of FAR. stuffed: robust
+    distance, in units of STUFFED, of a row whose offset leads towards keyword stuffing: its cosine to
+    the span of those features, in the space where the language's features are uncorrelated and of unit
+    spread, must reach `cosine`, the features must rise, and it must have what stuffing NEEDS. Marks
+    are left out of that cosine, so pages of both kinds count; of these the squares of the two add up.
+    A row is spam from 1 on.
     """
-    whiten = {k: (m, np.linalg.cholesky(inverse).T) for k, (m, inverse) in model.items()}
-    cutoffs = np.array(CUTOFFS)
+    spread = {k: (m, np.linalg.inv(inverse)) for k, (m, inverse) in model.items()}
+    words = list(range(1, len(FEATURES)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[list(FEATURES)].to_numpy()
-            distance, angle, which = np.zeros(len(pdf)), np.full(len(pdf), -1.0), np.zeros(len(pdf), dtype=np.int64)
-            mixed, largest = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=np.int64)
-            for lang, (mean, root) in whiten.items():
+            marked, stuffed = np.zeros(len(pdf)), np.zeros(len(pdf))
+            for lang, (mean, cov) in spread.items():
                 own = np.flatnonzero((pdf["lang"] == lang).to_numpy())
                 offset = x[own] - mean
-                z = offset @ root.T
-                distance[own] = np.linalg.norm(z, axis=1)
-                meets = np.ones((len(own), len(SPAMWARD)), dtype=bool)
-                for k, way in enumerate(SPAMWARD):
-                    on = np.flatnonzero(way)
-                    basis = np.linalg.qr(root[:, on])[0]
-                    cos = np.where(offset[:, on].sum(axis=1) > 0, np.linalg.norm(z @ basis, axis=1), -1) / np.maximum(distance[own], 1e-12)
-                    for f, (least, most) in NEEDS[k].items():
-                        sd = math.sqrt(np.linalg.inv(root.T @ root)[FEATURES.index(f), FEATURES.index(f)])
-                        z_f = offset[:, FEATURES.index(f)] / sd
-                        meets[:, k] &= (z_f >= least) & (z_f <= most)
-                    cos = np.where(meets[:, k], cos, -1)
-                    better = own[cos > angle[own]]
-                    which[better] = k
-                    angle[own] = np.maximum(angle[own], cos)
-                for met in np.unique(meets, axis=0):
-                    at = np.flatnonzero((meets == met).all(axis=1))
-                    weights = np.zeros((len(at), len(FEATURES)))
-                    on = np.flatnonzero(met @ np.array(SPAMWARD))
-                    weights[:, on] = in_cone(z[at], root[:, on])
-                    near = np.linalg.norm(weights @ root.T, axis=1) / np.maximum(distance[own[at]], 1e-12)
-                    parts = np.stack([np.linalg.norm((weights * way) @ root.T, axis=1) for way in SPAMWARD], axis=1) / cutoffs
-                    mixed[own[at]] = (near >= cosine) & (parts.sum(axis=1) >= 1)
-                    largest[own[at]] = parts.argmax(axis=1)
-            flagged = (angle >= cosine) & (distance >= cutoffs[which])
-            which = np.where(flagged, which, largest)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "distance": distance, "direction": which})[flagged | mixed]
-
-    return rows.mapInPandas(run, "doc_id long, distance double, direction long")
+                deviation = offset / np.sqrt(np.diag(cov))
+                marked[own] = np.maximum(deviation[:, 0], 0) / FAR
+                root = np.linalg.cholesky(np.linalg.inv(cov[np.ix_(words, words)])).T
+                z = offset[:, words] @ root.T
+                distance = np.linalg.norm(z, axis=1)
+                basis = np.linalg.qr(root[:, [k - 1 for k in STUFFING]])[0]
+                meets = (offset[:, list(STUFFING)].sum(axis=1) > 0) & (np.linalg.norm(z @ basis, axis=1) >= cosine * distance)
+                for f, (least, most) in NEEDS.items():
+                    meets &= (deviation[:, FEATURES.index(f)] >= least) & (deviation[:, FEATURES.index(f)] <= most)
+                stuffed[own] = np.where(meets, distance / STUFFED, 0)
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "marked": marked, "stuffed": stuffed, "direction": (stuffed > marked).astype(np.int64)})
+            yield out[marked**2 + stuffed**2 >= 1]
+
+    return rows.mapInPandas(run, "doc_id long, marked double, stuffed double, direction long")
 
 
 def found(documents: DataFrame, **columns: str) -> DataFrame:
