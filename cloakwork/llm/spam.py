@@ -196,7 +196,8 @@ def fitted(rows: DataFrame, steps: int = 3) -> dict[str, tuple[np.ndarray, np.nd
 def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosine: float = 0.97) -> DataFrame:
     """doc_id, marked, stuffed, direction (0 marks, 1 stuffing) of the outliers in directions of spam.
 
-    marked: robust distance in the direction of links and tags, in units of FAR. stuffed: robust
+    marked: robust distance in the direction of links and tags, in units of FAR; 0 for odds that a text
+    without any may have. stuffed: robust
     distance, in units of STUFFED, of a row whose offset leads towards keyword stuffing: its cosine to
     the span of those features, in the space where the language's features are uncorrelated and of unit
     spread, must reach `cosine`, the features must rise, and it must have what stuffing NEEDS. Marks
@@ -205,6 +206,7 @@ def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosin
     """
     spread = {k: (m, np.linalg.inv(inverse)) for k, (m, inverse) in model.items()}
     words = list(range(1, len(FEATURES)))
+    unmarked = math.log(ADDED / (LEAST + ADDED))  # the odds that a short text without marks has
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,7 +216,7 @@ def spam(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]], cosin
                 own = np.flatnonzero((pdf["lang"] == lang).to_numpy())
                 offset = x[own] - mean
                 deviation = offset / np.sqrt(np.diag(cov))
-                marked[own] = np.maximum(deviation[:, 0], 0) / FAR
+                marked[own] = np.where(x[own, 0] > unmarked, np.maximum(deviation[:, 0], 0), 0) / FAR
                 root = np.linalg.cholesky(np.linalg.inv(cov[np.ix_(words, words)])).T
                 z = offset[:, words] @ root.T
                 distance = np.linalg.norm(z, axis=1)
