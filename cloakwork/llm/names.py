@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.llm.components import components
-from cloakwork.session import stored
+from cloakwork.session import stored, tasks
 
 #: Least Jaro-Winkler similarity of two spellings of a word.
 ALIKE = 0.84
@@ -217,11 +217,11 @@ def same_firm(a: str, b: str) -> bool:
 
 
 def keyed(strings: DataFrame) -> DataFrame:
-    """strings(kind, text) to (text, kind, key, initial, blocks, loose).
+    """strings(kind, text) to (text, kind, key, letters).
 
-    key: the parsed name, kind included. blocks: phonetic blocks in which two spellings of one name
-    meet. loose: blocks in which names known by initials meet full ones. Strings that name nobody have
-    no row.
+    key: the parsed name; of persons "surname|given" and the initials of further names, as no comparison
+    looks at more. letters: the first letters of the names that a person's given name stands for. Strings
+    that name nobody have no row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,78 +229,118 @@ def keyed(strings: DataFrame) -> DataFrame:
             rows = []
             for kind, text in zip(pdf["kind"], pdf["text"]):
                 if kind == "PERSON":
-                    parsed = person(text)
-                    if not parsed:
-                        continue
-                    surname, given = parsed
-                    initial = len(given[0]) == 1
-                    blocks: set[str] = set()
-                    names = sorted(stands_for(given[0]))
-                    if not initial:
-                        for name in names:
-                            blocks |= {f"{x}+{code(name)}" for x in around(code(surname))} | {f"{code(surname)}+{x}" for x in around(code(name))}
-                    loose = {f"{x}+{name[0]}" for x in around(code(surname)) for name in names}
-                    rows.append((text, kind, f"{surname}|{' '.join(given)}", initial, sorted(blocks), sorted(loose)))
-                else:
-                    words = firm(text)
-                    if not words:
-                        continue
-                    codes = sorted(code(w) for w in words)
-                    blocks = {"+".join(codes)}
-                    for k, c in enumerate(codes):
-                        blocks |= {"+".join(sorted([*codes[:k], x, *codes[k + 1 :]])) for x in around(c)}
-                    rows.append((text, kind, " ".join(words), False, sorted(blocks), []))
-            yield pd.DataFrame(rows, columns=["text", "kind", "key", "initial", "blocks", "loose"])
-
-    return strings.mapInPandas(run, "text string, kind string, key string, initial boolean, blocks array<string>, loose array<string>")
-
-
-def _accepted(pairs: DataFrame) -> DataFrame:
-    """pairs(kind, a, b) of keys whose names are the same, by comparison."""
+                    if parsed := person(text):
+                        surname, given = parsed
+                        rows.append((text, kind, f"{surname}|{given[0]} {''.join(g[0] for g in given[1:])}".rstrip(), "".join(sorted({x[0] for x in stands_for(given[0])}))))
+                elif words := firm(text):
+                    rows.append((text, kind, " ".join(words), ""))
+            yield pd.DataFrame(rows, columns=["text", "kind", "key", "letters"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return strings.mapInPandas(run, "text string, kind string, key string, letters string")
+
+
+#: How words of names are compared, by the role that they have.
+ROLES = {"given": same_given, "surname": alike_surnames, "firm": alike_surnames}
+
+
+def spellings(words: DataFrame) -> DataFrame:
+    """words(role, word) to (role, a, b, sound): words that may be spellings of one, both ways and each with
+    itself. sound: whether they, or names that they stand for, have one phonetic code.
+
+    Different words meet in the blocks of their phonetic codes and of these with one sound less, and are
+    compared by Jaro-Winkler, single slips and the nickname table. A block holds the spellings of a sound
+    once each, however many names have them.
+    """
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for role, word in zip(pdf["role"], pdf["word"]):
+                codes = {code(w) for w in (stands_for(word) if role == "given" else (word,))}
+                rows.append((role, word, sorted({x for c in codes for x in around(c)})))
+            yield pd.DataFrame(rows, columns=["role", "word", "blocks"])
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            same = [same_person(a, b) if k == "PERSON" else same_firm(a, b) for k, a, b in zip(pdf["kind"], pdf["a"], pdf["b"])]
-            yield pdf[same]
+            rows = []
+            for role, a, b in zip(pdf["role"], pdf["a"], pdf["b"]):
+                if ROLES[role](a, b):
+                    x, y = ({code(w) for w in (stands_for(v) if role == "given" else (v,))} for v in (a, b))
+                    rows.append((role, a, b, not x.isdisjoint(y)))
+            yield pd.DataFrame(rows, columns=["role", "a", "b", "sound"])
 
-    return pairs.mapInPandas(run, "kind string, a string, b string")
+    different = words.select("role", "word").distinct()
+    blocks = stored(different.mapInPandas(coded, "role string, word string, blocks array<string>").select("role", "word", F.explode("blocks").alias("block")))
+    meet = blocks.withColumnRenamed("word", "a").join(blocks.withColumnRenamed("word", "b"), ["role", "block"]).filter("a < b").select("role", "a", "b").distinct()
+    alike = meet.repartition(tasks(words.sparkSession), "a", "b").mapInPandas(compared, "role string, a string, b string, sound boolean")
+    alike = stored(alike)
+    itself = different.select("role", F.col("word").alias("a"), F.col("word").alias("b"), F.lit(True).alias("sound"))
+    return stored(alike.union(alike.select("role", F.col("b").alias("a"), F.col("a").alias("b"), "sound")).union(itself))
 
 
 def linked(strings: DataFrame) -> DataFrame:
     """strings(kind, text), kind PERSON or ORG, to (kind, text, entity): spellings of one entity share
     the entity, the smallest key among them. Each string has one row per kind.
 
-    Strings that parse to the same name are one class, so pairs are compared between classes only.
-    Pairs meet in phonetic blocks and are compared by Jaro-Winkler, single slips and the nickname table;
-    connected components of accepted pairs are the entities. A name with initials only joins the one
-    entity that it fits, through nicknames only if it fits none without; if it fits several, it stays by
-    itself.
+    Strings that parse to the same name are one class. Their words are compared, each different word
+    once (`spellings`), and classes whose words are spellings of each other are joined on these words by
+    equality: no two names are compared only because they share a block, so a surname that very many
+    have is no hot group. Connected components of these links are the entities. A name with initials
+    only joins the one entity that it fits, through nicknames only if it fits none without; if it fits
+    several, it stays by itself.
     """
     distinct = strings.filter("text is not null and kind is not null").select("kind", "text").distinct()
     names = stored(keyed(distinct))
-    classes = stored(names.groupBy("kind", "key").agg(F.first("initial").alias("initial"), F.first("blocks").alias("blocks"), F.first("loose").alias("loose")))
-    blocks = classes.filter("not initial").select("kind", "key", F.explode("blocks").alias("block"))
-    pairs = blocks.select("kind", "block", F.col("key").alias("a")).join(blocks.select("kind", "block", F.col("key").alias("b")), ["kind", "block"])
-    links = _accepted(pairs.filter("a < b").select("kind", "a", "b").distinct())
-    named = F.concat_ws("\u0001", "kind", "key")
-    edges = links.select(F.concat_ws("\u0001", "kind", "a").alias("a"), F.concat_ws("\u0001", "kind", "b").alias("b"))
-    alone = classes.select(named.alias("a"), named.alias("b"))
-    full = stored(components(edges.union(alone.join(classes.filter("initial").select(named.alias("a")), "a", "left_anti"))))
-    short = classes.filter("initial").select("kind", F.col("key").alias("a"), F.explode("loose").alias("block"))
-    whole = classes.filter("kind = 'PERSON' and not initial").select("kind", F.col("key").alias("b"), F.explode("loose").alias("block"))
-    fits = _accepted(short.join(whole, ["kind", "block"]).select("kind", "a", "b").distinct())
-    plainly = F.substring(F.substring_index("a", "|", -1), 1, 1) == F.substring(F.substring_index("b", "|", -1), 1, 1)
-    fits = fits.select(F.concat_ws("\u0001", "kind", "a").alias("a"), F.concat_ws("\u0001", "kind", "b").alias("node"), plainly.alias("plainly")).join(full, "node")
+    classes = names.groupBy("kind", "key").agg(F.first("letters").alias("letters"))
+    rest = F.substring_index("key", "|", -1)
+    persons = classes.filter("kind = 'PERSON'").select("key", F.substring_index("key", "|", 1).alias("s"), F.substring_index(rest, " ", 1).alias("g"), F.when(rest.contains(" "), F.substring_index(rest, " ", -1)).otherwise("").alias("m"), "letters")
+    persons = stored(persons)
+    whole, short = persons.filter("length(g) > 1"), persons.filter("length(g) = 1")
+    # firms: each word with the firm's other words
+    words = F.split("key", " ")
+    firms = classes.filter("kind <> 'PERSON'").select("kind", "key", F.posexplode(words).alias("k", "word"), words.alias("all"))
+    firms = stored(firms.select("kind", "key", "word", F.array_join(F.filter("all", lambda w, k: k != F.col("k")), " ").alias("others")).distinct())
+
+    used = persons.select(F.lit("surname").alias("role"), F.col("s").alias("word")).union(whole.select(F.lit("given"), "g")).union(firms.select(F.lit("firm"), "word"))
+    alike = spellings(used)
+    surnames = alike.filter("role = 'surname'").select(F.col("a").alias("s"), F.col("b").alias("t"), F.col("sound").alias("s_sound"))
+    givens = alike.filter("role = 'given'").select(F.col("a").alias("g"), F.col("b").alias("h"), F.col("sound").alias("g_sound"))
+
+    def compatible(x: str, y: str) -> Column:
+        n = F.least(F.length(x), F.length(y))
+        return F.substring(x, F.lit(1), n) == F.substring(y, F.lit(1), n)
+
+    other = whole.select(F.col("s").alias("t"), F.col("g").alias("h"), F.col("m").alias("n"), F.col("key").alias("b"))
+    known = whole.select("s", "g").distinct()
+    near = known.join(surnames, "s").join(givens, "g").filter("s_sound or g_sound").join(known.select(F.col("s").alias("t"), F.col("g").alias("h")), ["t", "h"])
+    links = near.join(whole.select("s", "g", "m", F.col("key").alias("a")), ["s", "g"]).join(other, ["t", "h"]).filter(F.col("a") < F.col("b")).filter(compatible("m", "n"))
+    links = links.select(F.lit("PERSON").alias("kind"), "a", "b")
+    like = alike.filter("role = 'firm' and a <> b").select(F.col("a").alias("word"), F.col("b").alias("instead"))
+    twins = firms.select("kind", "others", F.col("word").alias("instead"), F.col("key").alias("b"))
+    links = links.union(firms.join(like, "word").join(twins, ["kind", "others", "instead"]).filter("key < b").select("kind", F.col("key").alias("a"), "b"))
+
+    def node(kind: str | Column, key: str) -> Column:
+        return F.concat_ws("\u0001", kind, key)
+
+    edges = links.distinct().select(node("kind", "a").alias("a"), node("kind", "b").alias("b"))
+    one_letter = short.select(node(F.lit("PERSON"), "key").alias("a"))
+    alone = classes.select(node("kind", "key").alias("a"), node("kind", "key").alias("b"))
+    full = stored(components(edges.union(alone.join(one_letter, "a", "left_anti"))))
+    # names with initials against full names, by surname and letter
+    lettered = whole.select(F.col("s").alias("t"), F.explode(F.split("letters", "")).alias("letter"), F.substring("g", 1, 1).alias("first"), F.col("m").alias("n"), F.col("key").alias("b"))
+    initials = short.select("s", F.col("g").alias("letter"), "m", F.col("key").alias("a")).join(surnames, "s")
+    fits = initials.join(lettered, ["t", "letter"]).filter(compatible("m", "n")).select(node(F.lit("PERSON"), "a").alias("a"), node(F.lit("PERSON"), "b").alias("node"), (F.col("letter") == F.col("first")).alias("plainly"))
+    fits = fits.distinct().join(full, "node")
     fits = stored(
         fits.withColumn("own", F.when(F.col("plainly"), F.col("root"))).groupBy("a").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min("root").alias("root"), F.max("root").alias("other"))
     )
     one = fits.filter("coalesce(low = high, root = other)").select("a", F.coalesce("low", "root").alias("b"))
     # initials that fit no full name are spellings of each other
-    free = short.withColumn("node", F.concat_ws("\u0001", "kind", "a")).join(fits.select(F.col("a").alias("node")), "node", "left_anti")
-    among = _accepted(free.select("kind", "block", "a").join(free.select("kind", "block", F.col("a").alias("b")), ["kind", "block"]).filter("a < b").select("kind", "a", "b").distinct())
-    among = among.select(F.concat_ws("\u0001", "kind", "a").alias("a"), F.concat_ws("\u0001", "kind", "b").alias("b"))
+    free = initials.withColumn("node", node(F.lit("PERSON"), "a")).join(fits.select(F.col("a").alias("node")), "node", "left_anti")
+    loose = free.select(F.col("s").alias("t"), "letter", F.col("m").alias("n"), F.col("node").alias("b")).distinct()
+    among = free.select("t", "letter", "m", F.col("node").alias("a")).join(loose, ["t", "letter"]).filter("a < b").filter(compatible("m", "n")).select("a", "b").distinct()
     roots = components(full.select(F.col("node").alias("a"), F.col("root").alias("b")).union(one).union(among).union(alone))
-    return names.select("kind", "text", named.alias("node")).join(roots, "node").select("kind", "text", F.col("root").alias("entity"))
+    return names.select("kind", "text", node("kind", "key").alias("node")).join(roots, "node").select("kind", "text", F.col("root").alias("entity"))
 
 
 def pairs(entities: DataFrame) -> DataFrame:

@@ -88,3 +88,41 @@ def test_a_letter_taken_for_another_links_surnames_and_keeps_relatives_apart(spa
     for r in N.linked(spark.createDataFrame([("PERSON", t) for g in groups for t in g], "kind string, text string")).collect():
         got.setdefault(r.entity, []).append(r.text)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+
+
+def test_links_equal_a_comparison_of_all_pairs(spark):
+    rng = random.Random(8)
+    given, last = ["Thomas", "Tom", "Tomas", "Robert", "Bob", "Gerald", "Gerard", "J", "T"], ["Zoskatov", "Zoxkatov", "Zoskatof", "Fosginer", "Fosgniner", "Beslagart"]
+    texts = sorted({f"{rng.choice(given)}{rng.choice(['', ' K', ' M', ' K M'])} {rng.choice(last)}" for _ in range(160)})
+    full = [t for t in texts if len(N.person(t)[1][0]) > 1]
+    root = {t: t for t in full}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def key(t):
+        s, g = N.person(t)
+        return f"{s}|{' '.join(g)}"
+
+    for k, a in enumerate(full):
+        for b in full[:k]:
+            if N.same_person(key(a), key(b)):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {}
+    for r in N.linked(spark.createDataFrame([("PERSON", t) for t in texts], "kind string, text string")).collect():
+        got.setdefault(r.entity, set()).add(r.text)
+    want = {}
+    for t in full:
+        want.setdefault(find(t), set()).add(t)
+    assert sorted(sorted(g & set(full)) for g in got.values() if g & set(full)) == sorted(map(sorted, want.values()))
+
+
+def test_a_surname_that_very_many_have_is_no_hot_group(spark):
+    rng = random.Random(4)
+    makers = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)).capitalize() for _ in range(20_000)]
+    rows = [("PERSON", f"{g} Kukkepes") for g in makers] + [("PERSON", "Katherine Kukkepes"), ("PERSON", "Kate Kukkepess")]
+    got = {r.text: r.entity for r in N.linked(spark.createDataFrame(rows, "kind string, text string")).collect()}
+    assert got["Katherine Kukkepes"] == got["Kate Kukkepess"] and len(got) == len(set(rows))
