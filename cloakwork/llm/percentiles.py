@@ -58,6 +58,32 @@ def sketches(values: DataFrame, k: int = 64) -> DataFrame:
     return clean.filter("grp is not null and v is not null and not isnan(v)").mapInPandas(run, SCHEMA)
 
 
+def daily(values: DataFrame, day: str = "day", k: int = 64) -> DataFrame:
+    """values(grp, v, day) to day and sketches of each group's values of the day: a table to which each day
+    adds its rows, whatever comes later. Null days are a day of their own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        seed = TaskContext.get().partitionId()
+        held: dict[tuple, ReqSketch] = {}
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"day": [d for d, _ in held], "grp": [g for _, g in held], "n": [s.n for s in held.values()], "sketch": [s.to_bytes() for s in held.values()]})
+
+        for pdf in batches:
+            for (own_day, grp), own in pdf.groupby(["day", "grp"], sort=True, dropna=False)["v"]:
+                held.setdefault((own_day if isinstance(own_day, str) else None, grp), ReqSketch(k, seed)).update(own.to_numpy())
+            if len(held) > OPEN:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    clean = values.select(F.col(day).cast("string").alias("day"), F.col("grp").cast("string").alias("grp"), F.col("v").cast("double").alias("v"))
+    return clean.filter("grp is not null and v is not null and not isnan(v)").mapInPandas(run, "day string, " + SCHEMA)
+
+
 def merged(parts: DataFrame) -> DataFrame:
     """One sketch per group, from the sketches of tasks, days or files. Two rounds of merging keep the
     sketches that a task holds at the square root of their number."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakwork.llm import containers, cutoffs, labels, languages, leaks, names, percentiles, personal, spam
+from cloakwork.session import one_of_each, stored
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,6 +19,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.above_percentile(_t(spark, d, "audit_log"), "id", "doc_type", "processing_ms", 95)
 
 
+#: Percentiles that `p1_percentiles` reports.
+FRACTIONS = [0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """The percentiles of each group, from sketches that were made and kept for each day, and whether the
+    true value, counted here, lies within the stated error."""
+    log = one_of_each(_t(spark, d, "audit_log"), "id")
+    rows = log.select(percentiles.tidy(F.col("doc_type")).alias("grp"), percentiles.measured(F.col("processing_ms")).alias("v"), F.to_date("processed_at").alias("day"))
+    rows = stored(rows.filter("grp is not null and v is not null"))
+    days = stored(percentiles.daily(rows))
+    found = percentiles.percentiles(percentiles.merged(days), FRACTIONS)
+    target = F.ceil(F.round(F.col("fraction") * F.col("n"), 6)).cast("long")
+    bounds = stored(found.select("grp", "n", "fraction", "low", "high", F.greatest(target, F.lit(1)).alias("target")))
+    counts = rows.join(bounds, "grp").groupBy("grp", "n", "fraction", "target").agg(F.count_if(F.col("v") < F.col("low")).alias("under"), F.count_if(F.col("v") <= F.col("high")).alias("upto"))
+    return counts.select("grp", "n", "fraction", ((F.col("under") < F.col("target")) & (F.col("upto") >= F.col("target"))).alias("within"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoffs.kept(_t(spark, d, "audit_events"), _t(spark, d, "keep_targets"))
 
@@ -92,6 +111,7 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p1_percentiles": p1_percentiles,
     "p4_found": p4_found,
     "p4_cutoffs": p4_cutoffs,
     "p2_found": p2_found,
@@ -126,6 +146,10 @@ WITH d AS (SELECT DISTINCT id, upper(regexp_replace(doc_type, '^\\s+|\\s+$', '',
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v) AS k, count(*) OVER (PARTITION BY grp) AS n FROM d),
 q AS (SELECT grp, v AS cut FROM r WHERE k = (95 * n + 99) // 100)
 SELECT d.id FROM d JOIN q USING (grp) WHERE d.v > q.cut""",
+    "p1_percentiles": f"""
+WITH d AS (SELECT DISTINCT id, upper(regexp_replace(doc_type, '^\\s+|\\s+$', '', 'g')) AS grp, processing_ms AS v FROM audit_log
+           WHERE id IS NOT NULL AND doc_type IS NOT NULL AND processing_ms IS NOT NULL AND NOT isnan(processing_ms) AND processing_ms >= 0)
+SELECT grp, count(*) AS n, fraction, true AS within FROM d, (SELECT unnest({FRACTIONS})::DOUBLE AS fraction) GROUP BY grp, fraction""",
     "p4_found": _COUNTED + "SELECT c.id FROM c JOIN cut USING (grp) WHERE c.v >= cut.cutoff",
     "p4_cutoffs": _COUNTED + "SELECT grp AS source, cutoff, CAST(kept AS BIGINT) AS kept, CAST(total AS BIGINT) AS total, pct FROM cut",
 }

@@ -73,3 +73,16 @@ def test_empty_and_all_null_tables(spark):
     schema = "id long, g string, v double"
     assert P.above_percentile(spark.createDataFrame([], schema), "id", "g", "v").count() == 0
     assert P.above_percentile(spark.createDataFrame([(None, None, None), (1, None, 2.0), (2, "a", None)], schema), "id", "g", "v").count() == 0
+
+
+def test_sketches_of_days_merge_to_those_of_all(spark):
+    rng = random.Random(7)
+    rows = [("A" if k % 3 else "B", rng.lognormvariate(3, 1), ["2024-01-01", "2024-01-02", None][k % 3]) for k in range(9000)] + [(None, 1.0, "2024-01-01"), ("A", None, "2024-01-01")]
+    days = P.daily(spark.createDataFrame(rows, "grp string, v double, day string"))
+    assert {r.day for r in days.select("day").collect()} == {"2024-01-01", "2024-01-02", None}
+    got = {(r.grp, r.fraction): r for r in P.percentiles(P.merged(days.drop("day")), [0.5, 0.99]).collect()}
+    for grp in "AB":
+        values = sorted(v for g, v, _ in rows if g == grp and v is not None)
+        for q in (0.5, 0.99):
+            r = got[grp, q]
+            assert r.n == len(values) and r.low <= values[-(-round(q * len(values) * 1e6) // 1_000_000) - 1] <= r.high
