@@ -44,8 +44,9 @@ def spans_of_words(text: str) -> list[tuple[str, int, int]]:
 
 
 def words(text: str) -> list[str]:
-    """The words of `spans_of_words`."""
-    return _word.findall(text.lower()) if text.isascii() else [w for w, _, _ in spans_of_words(text)]
+    """The words of `spans_of_words`; most texts have their plain form already."""
+    plain = text.isascii() or unicodedata.is_normalized("NFKC", text)
+    return _word.findall(text.lower()) if plain else [w for w, _, _ in spans_of_words(text)]
 
 
 @dataclass(frozen=True)
