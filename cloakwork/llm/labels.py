@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.session import one_of_each, stored, tasks
+from cloakwork.session import one_of_each, stored
 
-#: Least Jaccard similarity of a candidate, and least similarity of an accepted match.
-CANDIDATE, ACCEPT = 0.3, 0.5
+#: Least Jaccard similarity of a match.
+LEAST = 0.3
 #: Characters of a q-gram.
 Q = 2
 
@@ -40,7 +40,6 @@ _notes = re.compile(r"\(\s*required\s*\)|/\s*other\s*$|\bas shown\s*$|\.\.\.|[*:
 _number = re.compile(r"^\s*(?:\(?[a-z]\)|\d{1,3}[.)])\s+", re.I)
 _words = re.compile(r"[^\W_]+|#")
 _small = {"of", "the", "to", "your"}
-_folded_small = {"of", "the", "to"}
 
 
 def readings(text: str) -> list[list[str]]:
@@ -84,46 +83,6 @@ def grams(words: list[str]) -> list[str]:
     return out
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Damerau-Levenshtein distance (neighbours may swap), or most + 1 when it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, last[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def closeness(typed: list[list[str]], entry: list[str]) -> float:
-    """1 for the same words in any order, falling with each edit; the best over readings and orders."""
-    best = 0.0
-    entry = [folded(w) for w in entry]
-    whole = "".join(entry)
-    for words in ([folded(w) for w in reading] for reading in typed):
-        orders = {"".join(words), "".join(sorted(words))}
-        for k in range(1, len(words)):
-            orders.add("".join(words[k:] + words[:k]))
-            rest = [w for w in words[k:] + words[:k] if w not in _folded_small]
-            orders.add("".join(rest))
-        for text in orders:
-            for target in (whole, "".join(sorted(entry)), "".join(w for w in entry if w not in _folded_small)):
-                longest = max(len(text), len(target))
-                most = int(longest * min(0.5, 1 - best))
-                away = distance(text, target, most)
-                if away <= most:
-                    best = max(best, 1 - away / longest)
-                if len(text) >= 5 and len(text) >= 0.6 * len(target) and target.startswith(text):
-                    best = max(best, 0.9)
-    return best
-
-
 def _tokens(values: DataFrame) -> DataFrame:
     """value to rows (value, reading, words, tokens); values without letters have none."""
 
@@ -148,12 +107,12 @@ def _prefixes(sets: DataFrame, ranks: DataFrame, name: str) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("t"))
         .withColumn("size", F.size("t"))
     )
-    prefix = F.slice("t", 1, (F.col("size") - F.ceil(F.col("size") * CANDIDATE) + 1).cast("int"))
+    prefix = F.slice("t", 1, (F.col("size") - F.ceil(F.col("size") * LEAST) + 1).cast("int"))
     return ordered.select(name, "size", F.posexplode(prefix).alias("at", "x")).select(name, F.col("size").alias(f"{name}_size"), F.col("at").alias(f"{name}_at"), F.col("x.token").alias("token"))
 
 
 def similar(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l, r, jaccard) of token sets with Jaccard CANDIDATE or more, by a prefix-filter join.
+    """Pairs (l, r, jaccard) of token sets with Jaccard LEAST or more, by a prefix-filter join.
 
     left, right: (key, tokens); keys are unique on each side. Length and position filters thin the
     candidates, exact Jaccard verifies them.
@@ -162,51 +121,37 @@ def similar(left: DataFrame, right: DataFrame) -> DataFrame:
     ranks = both.groupBy("token").count().select("token", F.struct("count", "token").alias("rank"))
     ranks = stored(ranks)
     a, b = _prefixes(left, ranks, "l"), _prefixes(right, ranks, "r")
-    least = F.ceil((F.col("l_size") + F.col("r_size")) * (CANDIDATE / (1 + CANDIDATE)))
+    least = F.ceil((F.col("l_size") + F.col("r_size")) * (LEAST / (1 + LEAST)))
     left_over = F.least(F.col("l_size") - F.col("l_at"), F.col("r_size") - F.col("r_at"))
     pairs = (
         a.join(b, "token")
-        .filter((F.least("l_size", "r_size") >= F.ceil(F.greatest("l_size", "r_size") * CANDIDATE)) & (left_over + F.least("l_at", "r_at") >= least))
+        .filter((F.least("l_size", "r_size") >= F.ceil(F.greatest("l_size", "r_size") * LEAST)) & (left_over + F.least("l_at", "r_at") >= least))
         .select("l", "r")
         .distinct()
     )
     full = pairs.join(left.select(F.col("key").alias("l"), F.col("tokens").alias("x")), "l").join(right.select(F.col("key").alias("r"), F.col("tokens").alias("y")), "r")
     same = F.size(F.array_intersect("x", "y"))
-    return full.withColumn("jaccard", same / (F.size("x") + F.size("y") - same)).filter(F.col("jaccard") >= CANDIDATE).select("l", "r", "jaccard")
+    return full.withColumn("jaccard", same / (F.size("x") + F.size("y") - same)).filter(F.col("jaccard") >= LEAST).select("l", "r", "jaccard")
 
 
 def best_entries(values: DataFrame, entries: DataFrame) -> DataFrame:
-    """value, entry: the entry of the list that each distinct value means, or null for none.
+    """value, entry, score: the entry of the list that each distinct value means, or null for none.
 
-    values(value); entries(entry, label), few or many. Candidates come from the prefix-filter join of
-    q-gram sets; of these the most similar by edits over the word orders wins, then the larger
-    Jaccard, then the smaller entry. A best candidate below ACCEPT means none.
+    values(value); entries(entry, label), few or many. The prefix-filter join of q-gram sets gives the
+    entries with Jaccard LEAST or more over the readings of a value; the most similar wins, of equally
+    similar ones the one with fewer edits, then the smaller. score is the similarity.
     """
     typed = stored(_tokens(values).withColumn("key", F.concat_ws("\u0001", "value", "reading")))
     known = stored(_tokens(entries.select(F.col("label").alias("value"))).filter("reading = 0").withColumnRenamed("value", "key"))
     candidates = similar(typed.select("key", "tokens"), known.select("key", "tokens"))
-    words = typed.groupBy("value").agg(F.array_sort(F.collect_set("words")).alias("typed"))
     scored = (
-        candidates.join(typed.select(F.col("key").alias("l"), "value"), "l")
-        .groupBy("value", F.col("r").alias("label"))
-        .agg(F.max("jaccard").alias("jaccard"))
-        .join(words, "value")
-        .join(known.select(F.col("key").alias("label"), F.col("words").alias("target")), "label")
-        .join(entries, "label")
+        candidates.join(typed.select(F.col("key").alias("l"), "value", "words"), "l")
+        .join(known.select(F.col("key").alias("r"), F.col("words").alias("target")), "r")
+        .join(entries.withColumnRenamed("label", "r"), "r")
     )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            close = [closeness([x.split() for x in t], y.split()) for t, y in zip(pdf["typed"], pdf["target"])]
-            yield pdf[["value", "entry", "jaccard"]].assign(close=close)
-
-    # scoring takes long for its few bytes: as many tasks as cores want
-    scored = scored.select("value", "entry", "jaccard", "typed", "target").repartition(tasks(values.sparkSession), "value")
-    judged = scored.mapInPandas(run, "value string, entry long, jaccard double, close double")
-    judged = judged.withColumn("score", F.col("close") * 0.7 + F.col("jaccard") * 0.3)
-    best = judged.groupBy("value").agg(F.max(F.struct("score", "jaccard", (-F.col("entry")).alias("minus"))).alias("b"))
-    best = best.filter(F.col("b.score") >= ACCEPT).select("value", (-F.col("b.minus")).alias("entry"), F.col("b.score").alias("score"))
-    return values.join(best, "value", "left")
+    order = F.struct("jaccard", (-F.levenshtein("words", "target")).alias("near"), (-F.col("entry")).alias("minus"))
+    best = scored.groupBy("value").agg(F.max(order).alias("b"))
+    return values.join(best.select("value", (-F.col("b.minus")).alias("entry"), F.col("b.jaccard").alias("score")), "value", "left")
 
 
 def mapped(rows: DataFrame, canonical: DataFrame, id_col: str, value_col: str, entry_col: str, label_col: str) -> DataFrame:

@@ -38,10 +38,13 @@ def test_prefix_join_equals_brute_force(spark):
     for i, a in enumerate(sets[:110]):
         for j, b in enumerate(sets[110:]):
             jac = len({*a} & {*b}) / len({*a} | {*b})
-            if jac >= L.CANDIDATE:
+            if jac >= L.LEAST:
                 want[f"l{i}", f"r{j}"] = round(jac, 9)
     assert {(r.l, r.r): round(r.jaccard, 9) for r in L.similar(left, right).collect()} == want
 
 
-def test_distance_counts_swaps_once():
-    assert [L.distance(*x, 3) for x in (("ab", "ba"), ("abc", "abc"), ("abc", "abx"), ("abc", "ab"), ("kitten", "sitting"), ("aaaa", "bbbb"))] == [1, 0, 1, 1, 3, 4]
+def test_of_equally_similar_entries_the_one_with_fewer_edits_wins_then_the_smaller(spark):
+    values = spark.createDataFrame([("abcd",), ("zz qq",)], "value string")
+    entries = spark.createDataFrame([(3, "abcdx"), (4, "abcdy"), (1, "unlike")], "entry long, label string")
+    got = {r.value: r.entry for r in L.best_entries(values, entries).collect()}
+    assert got == {"abcd": 3, "zz qq": None}
