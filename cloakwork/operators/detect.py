@@ -32,8 +32,9 @@ def hits(text: Column, pattern: Pattern, texts: Column | None = None) -> Column:
     )
 
 
-def detect(df: DataFrame, text_col: str = "text", registry: Registry | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def detect(df: DataFrame, text_col: str = "text", registry: Registry | None = None, keep: tuple[str, ...] = ("doc_id",), places: bool = True) -> DataFrame:
     """A row per match of every pattern: the kept columns, start, end, span, entity_type, pattern, score.
+    Without places, start and end are null and aren't worked out: enough for counts and for evaluation.
 
     Texts are read once, whatever the number of patterns; null texts have no rows. The expressions are
     row-local, so the same frame may be a stream.
@@ -45,7 +46,9 @@ def detect(df: DataFrame, text_col: str = "text", registry: Registry | None = No
     # a row per text and pattern with matches: places and checks are worked out for these only
     about = F.array(*[F.struct(F.lit(p.regex).alias("regex"), F.lit(p.entity).alias("entity_type"), F.lit(p.name).alias("pattern"), F.lit(float(score_of(p))).alias("score")) for p in registry.patterns])
     some = some.withColumn("_p", F.get(about, F.col("which")))
-    placed = some.select(*columns, F.col("which").alias("_which"), F.inline(matches(F.col(text_col), F.col("_p.regex"), F.col("texts"))), "_p.entity_type", "_p.pattern", "_p.score")
+    none = F.lit(None).cast("int")
+    spans = matches(F.col(text_col), F.col("_p.regex"), F.col("texts")) if places else F.transform("texts", lambda t: F.struct(none.alias("start"), none.alias("end"), t.alias("span")))
+    placed = some.select(*columns, F.col("which").alias("_which"), F.inline(spans), "_p.entity_type", "_p.pattern", "_p.score")
     holds = F.lit(True)
     for name, (check, _) in CHECKS.items():
         own = [k for k, p in enumerate(registry.patterns) if p.check == name]

@@ -90,7 +90,7 @@ def _detect_query(entity: str) -> None:
 
     @query(_WITH + " " + " UNION ALL ".join(_extract_sql(p) for p in own), f"detect_{entity.lower()}")
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return detect.detect(claims(spark, d), registry=Registry(tuple(own))).select("doc_id", "entity_type", "pattern", "span", "score")
+        return detect.detect(claims(spark, d), registry=Registry(tuple(own)), places=False).select("doc_id", "entity_type", "pattern", "span", "score")
 
 
 for _entity in dict.fromkeys(p.entity for p in PATTERNS):
@@ -99,12 +99,12 @@ for _entity in dict.fromkeys(p.entity for p in PATTERNS):
 
 @query(_WITH + " SELECT entity_type, pattern, count(*) AS n FROM (" + " UNION ALL ".join(_extract_sql(p) for p in BASELINE) + ") GROUP BY ALL")
 def baseline_counts(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect(claims(spark, d), registry=Registry(BASELINE)).groupBy("entity_type", "pattern").agg(F.count("*").alias("n"))
+    return detect.detect(claims(spark, d), registry=Registry(BASELINE), places=False).groupBy("entity_type", "pattern").agg(F.count("*").alias("n"))
 
 
 @query(_WITH + " SELECT entity_type, count(*) AS n FROM (" + " UNION ALL ".join(_extract_sql(p) for p in PATTERNS) + ") WHERE score >= 0.6 GROUP BY ALL")
 def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    found = detect.detect(claims(spark, d), registry=Registry(PATTERNS))
+    found = detect.detect(claims(spark, d), registry=Registry(PATTERNS), places=False)
     return detect.gated(found).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
@@ -539,7 +539,7 @@ _PRED_SQL = " UNION ALL ".join(_extract_sql(p) for p in _JUDGED)
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = claims(spark, d)
     pairs = F.array(*[F.struct(F.lit(e).alias("entity_type"), F.regexp_extract("text", f"{label}: (.+)", 1).alias("span")) for label, e in _GOLD.items()])
-    return detect.detect(docs, registry=Registry(_JUDGED)), docs.select("doc_id", F.inline(pairs))
+    return detect.detect(docs, registry=Registry(_JUDGED), places=False), docs.select("doc_id", F.inline(pairs))
 
 
 def _f1_sql(by: str) -> str:
