@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from dataclasses import dataclass
 
 
@@ -98,6 +100,44 @@ BASELINE = (
 )
 
 
+_ATOM = r"(?:[A-Za-z0-9_]|\\d|\[(?:[A-Z]-[A-Z]|[a-z]-[a-z]|[0-9]-[0-9]|[A-Za-z0-9_])+\])(?:\?|\*|\+|\{\d+(?:,\d*)?\})?"
+_WORD = re.compile(rf"\\b((?:{_ATOM}|\(\?:(?:{_ATOM}|\|)+\)(?:\?|\*|\+|\{{\d+(?:,\d*)?\}})?)+)\\b")
+
+
+def word_only(regex: str) -> str:
+    """What stands between the two word boundaries of an expression whose matches are whole words: letters,
+    digits and underscores only. Empty for any other expression."""
+    found = _WORD.fullmatch(regex)
+    return found[1] if found else ""
+
+
+_FIRST = re.compile(r"(\\d|\[(?:[A-Z]-[A-Z]|[a-z]-[a-z]|[0-9]-[0-9]|[A-Za-z0-9_])+\]|[A-Za-z0-9_])(?![?*]|\{0)")
+
+
+def firsts(regex: str) -> str:
+    """The characters with which a match may begin, where an expression shows them plainly: a word boundary,
+    then a digit, letter, underscore or class of these, or a group of such beginnings. Empty for any other."""
+    group = re.match(r"\\b\(\?:([^()]*)\)(?![?*]|\{0)", regex)
+    rest = re.sub(r"\\.|\[[^\]]*\]", "", regex)
+    while (inner := re.sub(r"\([^()]*\)", "", rest)) != rest:
+        rest = inner
+    found = [_FIRST.match(x) for x in (group[1].split("|") if group else [regex[2:]])]
+    if not regex.startswith(r"\b") or "|" in rest or not all(found):
+        return ""
+    own = re.compile("|".join(m[1] for m in found), re.ASCII)
+    return "".join(c for c in string.digits + string.ascii_letters + "_" if own.fullmatch(c))
+
+
+def ahead(*regexes: str) -> str:
+    """A look at the next character, to be put before expressions: it takes less time than a word boundary
+    and changes no match. Empty where one of them doesn't show how its matches begin."""
+    some = [firsts(r) for r in regexes]
+    chars = "".join(sorted(set("".join(some)))) if all(some) else ""
+    for run in (string.digits, string.ascii_uppercase, string.ascii_lowercase):
+        chars = chars.replace(run, f"{run[0]}-{run[-1]}")
+    return f"(?=[{chars}])" if chars else ""
+
+
 class Registry:
     """An immutable set of patterns; `add` and `remove` give new ones."""
 

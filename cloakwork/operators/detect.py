@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cloakwork.functions.boxes import specificity
 from cloakwork.functions.checks import CHECKS
-from cloakwork.functions.patterns import CONTEXT, Pattern, Registry
-from cloakwork.functions.text import found_texts, matches, words_before
+from cloakwork.functions.patterns import CONTEXT, Pattern, Registry, ahead, word_only
+from cloakwork.functions.text import found_texts, let, matches, pieces, placed, words_before
 
 #: What a context word adds to a score, and the words before a hit among which it is looked for.
 BOOST, WORDS = 0.35, 5
@@ -32,6 +32,17 @@ def hits(text: Column, pattern: Pattern, texts: Column | None = None) -> Column:
     )
 
 
+def _scans(patterns: tuple[Pattern, ...]) -> list[tuple[str, list[int]]]:
+    """Expressions to scan for, each with the patterns whose matches it finds. Patterns of whole words share
+    one scan: their matches are words, so none of them can begin or end inside another."""
+    words = [k for k, p in enumerate(patterns) if word_only(p.regex)]
+    scans = [(ahead(p.regex) + p.regex, [k]) for k, p in enumerate(patterns) if k not in words or len(words) == 1]
+    if len(words) > 1:
+        regexes = list(dict.fromkeys(patterns[k].regex for k in words))
+        scans.append((rf"{ahead(*regexes)}\b(?:{'|'.join(map(word_only, regexes))})\b", words))
+    return scans
+
+
 def detect(df: DataFrame, text_col: str = "text", registry: Registry | None = None, keep: tuple[str, ...] = ("doc_id",), places: bool = True) -> DataFrame:
     """A row per match of every pattern: the kept columns, start, end, span, entity_type, pattern, score.
     Without places, start and end are null and aren't worked out: enough for counts and for evaluation.
@@ -39,22 +50,28 @@ def detect(df: DataFrame, text_col: str = "text", registry: Registry | None = No
     Texts are read once, whatever the number of patterns; null texts have no rows. The expressions are
     row-local, so the same frame may be a stream.
     """
-    registry = registry or Registry()
+    patterns = (registry or Registry()).patterns
     columns = list(dict.fromkeys([*keep, text_col]))
-    texts = F.array(*[F.struct(F.lit(k).alias("which"), found_texts(F.col(text_col), p.regex).alias("texts")) for k, p in enumerate(registry.patterns)])
-    some = df.select(*columns, F.inline(F.filter(texts, lambda t: F.size(t["texts"]) > 0)))
-    # a row per text and pattern with matches: places and checks are worked out for these only
-    about = F.array(*[F.struct(F.lit(p.regex).alias("regex"), F.lit(p.entity).alias("entity_type"), F.lit(p.name).alias("pattern"), F.lit(float(score_of(p))).alias("score")) for p in registry.patterns])
-    some = some.withColumn("_p", F.get(about, F.col("which")))
+    scans = _scans(patterns)
+    cut = [F.struct(F.lit(k).alias("scan"), (pieces if places else found_texts)(F.col(text_col), regex).alias("texts")) for k, (regex, _) in enumerate(scans)]
+    some = df.select(*columns, F.inline(F.filter(F.array(*cut), lambda t: F.size(t["texts"]) > int(places))))
+    # a row per text and scan with matches: places and checks are worked out for these only
     none = F.lit(None).cast("int")
-    spans = matches(F.col(text_col), F.col("_p.regex"), F.col("texts")) if places else F.transform("texts", lambda t: F.struct(none.alias("start"), none.alias("end"), t.alias("span")))
-    placed = some.select(*columns, F.col("which").alias("_which"), F.inline(spans), "_p.entity_type", "_p.pattern", "_p.score")
+    spans = placed(F.col("texts")) if places else F.transform("texts", lambda t: F.struct(none.alias("start"), none.alias("end"), t.alias("span")))
+    found = some.select(*columns, "scan", F.inline(spans))
+    about = [F.struct(F.lit(k).alias("_which"), F.lit(p.entity).alias("entity_type"), F.lit(p.name).alias("pattern"), F.lit(float(score_of(p))).alias("score")) for k, p in enumerate(patterns)]
+    by_scan = F.get(F.array(*[F.array(about[own[0]]) for _, own in scans]), F.col("scan"))
+    for k, (_, own) in enumerate(scans):
+        if len(own) > 1:
+            fits = F.array(*[F.when(F.col("span").rlike(rf"\A{word_only(patterns[i].regex)}\z"), about[i]) for i in own])
+            by_scan = F.when(F.col("scan") == k, F.filter(fits, lambda h: h.isNotNull())).otherwise(by_scan)
+    hits_ = found.select(*columns, "start", "end", "span", F.inline(by_scan))
     holds = F.lit(True)
     for name, (check, _) in CHECKS.items():
-        own = [k for k, p in enumerate(registry.patterns) if p.check == name]
+        own = [k for k, p in enumerate(patterns) if p.check == name]
         if own:
             holds = F.when(F.col("_which").isin(*own), check(F.col("span"))).otherwise(holds)
-    return placed.filter(holds).select(*keep, "start", "end", "span", "entity_type", "pattern", "score")
+    return hits_.filter(holds).select(*keep, "start", "end", "span", "entity_type", "pattern", "score")
 
 
 def _scanned(df: DataFrame, text_col: str, registry: Registry) -> tuple[DataFrame, Column]:
@@ -69,7 +86,7 @@ def rescored(spans: DataFrame, text: Column, boost: float = BOOST, words: int =
     """Scores raised by boost, to 1 at most, where a context word of the type stands before the hit."""
     before = words_before(text, F.col("start"), words)
     table = F.create_map(*[x for k, v in CONTEXT.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    near = F.exists(table[F.col("entity_type")], lambda w: F.contains(before, w))
+    near = let(before, lambda b: F.exists(table[F.col("entity_type")], lambda w: F.contains(b, w)))
     return spans.withColumn("score", F.when(F.coalesce(near, F.lit(False)), F.least(F.lit(1.0), F.col("score") + boost)).otherwise(F.col("score")))
 
 

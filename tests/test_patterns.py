@@ -3,8 +3,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cloakwork.functions.patterns import BASELINE, CONTEXT, GENERAL, PATTERNS, Registry
-from cloakwork.functions.text import matches
+from cloakwork.functions.patterns import BASELINE, CONTEXT, GENERAL, PATTERNS, Registry, ahead, word_only
+from cloakwork.functions.text import MARK, matches
 from cloakwork.operators import detect as D
 
 # Samples made for these tests; the card and routing numbers are the published examples of their checks.
@@ -104,3 +104,26 @@ def test_outermost_and_deduplicated(spark):
     assert hits.count() == 3
     assert [(r.start, r.end) for r in D.outermost(hits, "doc_id").orderBy("start").collect()] == [(4, 23), (28, 44)]
     assert D.deduplicated(hits, "doc_id").count() == 2
+
+
+def test_patterns_that_share_a_scan_find_what_each_finds_alone(spark):
+    texts = ["AB1234567 021000021 1234567890123 A12345678 BOFAUS3NXXX", "123 1234\n12345-AB 912-70-1234 POL-7QX40LM77 CLM-123456", f"a😀b {MARK}12345-AB, 1234 {MARK}", "77 Old Quarry Lane 4111 1111 1111 1111", "é1234 1234é _123 $0 123\\ 123", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    plain = tuple(p for p in PATTERNS + GENERAL if not p.check)
+    want = {(k, p.name, m.start(), m.end(), m.group()) for k, t in enumerate(texts) for p in plain for m in re.finditer(p.regex, t or "")}
+    rows = D.detect(df, registry=Registry(plain)).collect()
+    assert len(rows) == len(want) and {(r.doc_id, r.pattern, r.start, r.end, r.span) for r in rows} == want
+    assert len(D._scans(PATTERNS)) == 1 + sum(not word_only(p.regex) for p in PATTERNS) == 15
+
+
+def test_only_plain_expressions_share_a_scan_or_look_ahead():
+    assert word_only(r"\b[A-Z]{2}\d{7}\b") == r"[A-Z]{2}\d{7}" and word_only(r"\b(?:0[0-9]|1[0-2])\d{7}\b") == r"(?:0[0-9]|1[0-2])\d{7}"
+    assert [r for r in (r"\ba|b\b", r"\b[A-z]+\b", r"\b[A-Z-]+\b", r"\b\d+\s\b", r"\b(?!00)\d{2}\b", r"\d{3}") if word_only(r)] == []
+    assert (ahead(r"\bPOL-\d"), ahead(r"\b\d{3}-", r"\b[A-Z]x"), ahead(r"\b(?:CLM|9\d)-")) == ("(?=[P])", "(?=[0-9A-Z])", "(?=[9C])")
+    assert [r for r in (r"\ba|b\b", r"\b(?:a|b)?c\b", r"\b\d*x", r"\b(?:ab|[^c]d)\b", r"\b(?:(?:x|y)|z)", r"\d{3}", r"\b(?:a|b)|c") if ahead(r)] == []
+
+
+def test_words_before_a_hit_are_worked_out_once_not_for_each_context_word(spark):
+    df = spark.createDataFrame([(1, "the cvv is 123", 11, "CREDIT_CARD_SECURITY_CODE", 0.4)], "doc_id long, text string, start int, entity_type string, score double")
+    plan = D.rescored(df, F.col("text"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "contains(lambda " in plan and "contains(lower(" not in plan
